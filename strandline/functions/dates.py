@@ -48,11 +48,6 @@ def month_diff(start: ColumnOrName, end: ColumnOrName) -> Column:
     return month_index(end) - month_index(start)
 
 
-def month_from_index(ix: Column) -> Column:
-    """First day of the month with the given index."""
-    return F.make_date(F.floor(ix / 12).cast("int"), (ix % 12 + 1).cast("int"), F.lit(1))
-
-
 def add_months(c: ColumnOrName, months: int) -> Column:
     """Same day ``months`` later, clipped to the month end."""
     return F.add_months(_col(c), months)

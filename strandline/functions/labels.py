@@ -46,7 +46,7 @@ def facility_type(agency: str | Column, codes: Sequence[str], inside: str = "ET"
 
 def row_sum(columns: Sequence[str]) -> Column:
     """Sum over the columns of one row; NULL as soon as one of them is NULL."""
-    return reduce(lambda a, b: a + b, [F.col(c) for c in columns])
+    return F.expr(" + ".join(f"`{c}`" for c in columns))
 
 
 def ratio(top: str, bottom: str) -> Column:
@@ -59,8 +59,11 @@ def first_max_label(columns: Sequence[str]) -> Column:
 
     NULLs are skipped; a row of NULLs only gives NULL.
     """
-    top = F.greatest(*[F.col(c) for c in columns])
-    return reduce(lambda acc, c: acc.when(F.col(c) == top, c), columns, F)
+    listed = ", ".join(f"`{c}`" for c in columns)
+    names = ", ".join(f"'{c}'" for c in columns)
+    position = f"CAST(array_position(array({listed}), greatest({listed})) AS INT)"
+    # Rows of NULLs are told apart first: generated code takes the position as never NULL.
+    return F.expr(f"CASE WHEN coalesce({listed}) IS NOT NULL THEN element_at(array({names}), {position}) END")
 
 
 # ---- predicates -----------------------------------------------------------------

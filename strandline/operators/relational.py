@@ -20,14 +20,18 @@ from strandline.functions.dates import as_date, month_index
 # ---- joins ------------------------------------------------------------------------
 
 def in_keys(df: DataFrame, key: str, *lists: tuple[DataFrame, str]) -> DataFrame:
-    """Rows whose key occurs in any of the lists (one semi join for all lists)."""
+    """Rows whose key occurs in any of the lists (one semi join for all lists).
+
+    The lists are reduced to distinct keys on the partitioning the join needs anyway,
+    so a key that fills a list is sent once per input task.
+    """
     keys = reduce(DataFrame.union, [d.select(F.col(c).alias("_k")) for d, c in lists])
-    return df.join(keys, F.col(key) == F.col("_k"), "left_semi")
+    return df.join(keys.distinct(), F.col(key) == F.col("_k"), "left_semi")
 
 
 def not_in_keys(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
     """Rows whose key has no partner (rows with a NULL key stay)."""
-    keys = other.select(F.col(other_key).alias("_k"))
+    keys = other.select(F.col(other_key).alias("_k")).distinct()
     return df.join(keys, F.col(key) == F.col("_k"), "left_anti")
 
 
@@ -43,7 +47,7 @@ def code_rows(codes: DataFrame, names: Sequence[str], system: str | None = None,
 
 def with_code_in(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
     """Rows whose code is listed; a code listed twice does not repeat the row."""
-    return in_keys(df, column, (codes, "code"))
+    return df.join(codes.select(F.col("code").alias("_k")), F.col(column) == F.col("_k"), "left_semi")
 
 
 def left_join_in_range(df: DataFrame, other: DataFrame, key: str, in_range: Column) -> DataFrame:

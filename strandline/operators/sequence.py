@@ -28,9 +28,8 @@ TIE_BLOCK = 1_000_000
 def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on all keys, NULL matching NULL, keeping the left side's key columns once."""
     names = {k: f"_key_{i}" for i, k in enumerate(keys)}
-    right = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(r)) for k, r in names.items()])
-    return left.join(right, on, how).drop(*names.values())
+    on = F.expr(" AND ".join(f"`{k}` <=> `{r}`" for k, r in names.items()))
+    return left.join(right.withColumnsRenamed(names), on, how).drop(*names.values())
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -48,63 +47,60 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> t
     return _attach(df, hot, keys, "left_anti"), _attach(df, hot, keys, "left_semi")
 
 
-def _ordinary(df, person, stamp, tie, counted):
-    by_row = Window.partitionBy(*person).orderBy(stamp, *tie)
-    by_stamp = Window.partitionBy(*person).orderBy(stamp)
-    return (
-        df.withColumn("position", F.row_number().over(by_row).cast("bigint"))
-        .withColumn("prev_stamp", F.lag(stamp).over(by_row))
-        .withColumn("ordinal", F.count(counted).over(by_stamp))
-    )
+def _over(function: str, parent: Sequence[str], order: Sequence[str], frame: str = "") -> str:
+    """Text of a window expression; the default frame takes in rows that tie."""
+    by, to = (", ".join(f"`{c}`" for c in cols) for cols in (parent, order))
+    return f"{function} OVER (PARTITION BY {by} ORDER BY {to} {frame})"
 
 
-def _before(n: str, parent: Sequence[str], order: str) -> Column:
+def _before(n: str, parent: Sequence[str], order: str) -> str:
     """Sum of ``n`` over the earlier siblings under the same parent."""
-    frame = Window.partitionBy(*parent).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(n).over(frame), F.lit(0))
+    return f"coalesce({_over(f'sum({n})', parent, [order], 'ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING')}, 0)"
+
+
+def _ordinary(df, person, stamp, tie, counted):
+    return df.selectExpr(
+        "*",
+        f"CAST({_over('row_number()', person, [stamp, *tie])} AS BIGINT) AS position",
+        f"{_over(f'lag(`{stamp}`)', person, [stamp, *tie])} AS prev_stamp",
+    ).selectExpr("*", f"{_over(f'count(`{counted}`)', person, [stamp])} AS ordinal")
 
 
 def _hot(df, person, stamp, tie, counted):
-    cols = df.columns
-    id_col = tie[0]
+    cols = [f"`{c}`" for c in df.columns]
     # Whole hours since 1970, from date parts: no detour through the session time zone.
-    df = df.withColumn("_hour", F.datediff(stamp, F.lit("1970-01-01").cast("date")) * 24 + F.hour(stamp)).withColumn(
-        "_block", F.floor(F.col(id_col) / TIE_BLOCK)
+    df = df.selectExpr(
+        "*", f"datediff(`{stamp}`, DATE '1970-01-01') * 24 + hour(`{stamp}`) AS _hour",
+        f"floor(`{tie[0]}` / {TIE_BLOCK}) AS _block",
     )
     hour, at, block = [*person, "_hour"], [*person, "_hour", stamp], [*person, "_hour", stamp, "_block"]
 
-    blocks = df.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.count(counted).alias("_c"))
-    stamps = blocks.groupBy(*at).agg(
-        F.sum("_n").alias("_n"), F.sum("_c").alias("_c"), F.min("_block").alias("_first_block")
-    )
-    hours = stamps.groupBy(*hour).agg(F.sum("_n").alias("_n"), F.sum("_c").alias("_c"), F.max(stamp).alias("_last"))
+    blocks = df.groupBy(*block).agg(F.expr("count(1) AS _n"), F.expr(f"count(`{counted}`) AS _c"))
+    stamps = blocks.groupBy(*at).agg(F.expr("sum(_n) AS _n"), F.expr("sum(_c) AS _c"), F.expr("min(_block) AS _first_block"))
+    hours = stamps.groupBy(*hour).agg(F.expr("sum(_n) AS _n"), F.expr("sum(_c) AS _c"), F.expr(f"max(`{stamp}`) AS _last"))
 
-    hours = hours.select(
+    hours = hours.selectExpr(
         *hour,
-        _before("_n", person, "_hour").alias("_n_hour"),
-        _before("_c", person, "_hour").alias("_c_hour"),
-        F.lag("_last").over(Window.partitionBy(*person).orderBy("_hour")).alias("_prev_hour"),
+        f"{_before('_n', person, '_hour')} AS _n_hour",
+        f"{_before('_c', person, '_hour')} AS _c_hour",
+        f"{_over('lag(_last)', person, ['_hour'])} AS _prev_hour",
     )
-    stamps = stamps.select(
+    stamps = stamps.selectExpr(
         *at,
         "_first_block",
-        _before("_n", hour, stamp).alias("_n_stamp"),
-        (_before("_c", hour, stamp) + F.col("_c")).alias("_c_stamp"),
-        F.lag(stamp).over(Window.partitionBy(*hour).orderBy(stamp)).alias("_prev_in_hour"),
+        f"{_before('_n', hour, stamp)} AS _n_stamp",
+        f"{_before('_c', hour, stamp)} + _c AS _c_stamp",
+        f"{_over(f'lag(`{stamp}`)', hour, [stamp])} AS _prev_in_hour",
     )
-    blocks = blocks.select(*block, _before("_n", at, "_block").alias("_n_block"))
+    blocks = blocks.selectExpr(*block, f"{_before('_n', at, '_block')} AS _n_block")
 
     offsets = _attach(_attach(blocks, stamps, at), hours, hour)
-    local = Window.partitionBy(*block).orderBy(*tie)
-    df = df.withColumn("_local", F.row_number().over(local))
-    df = _attach(df, offsets, block)
-    first_of_stamp = (F.col("_local") == 1) & (F.col("_block") == F.col("_first_block"))
-    before = F.coalesce("_prev_in_hour", "_prev_hour")
-    return df.select(
+    df = _attach(df.selectExpr("*", f"{_over('row_number()', block, tie)} AS _local"), offsets, block)
+    return df.selectExpr(
         *cols,
-        (F.col("_n_hour") + F.col("_n_stamp") + F.col("_n_block") + F.col("_local")).cast("bigint").alias("position"),
-        F.when(first_of_stamp, before).otherwise(F.col(stamp)).alias("prev_stamp"),
-        (F.col("_c_hour") + F.col("_c_stamp")).cast("bigint").alias("ordinal"),
+        "_n_hour + _n_stamp + _n_block + _local AS position",
+        f"CASE WHEN _local = 1 AND _block = _first_block THEN coalesce(_prev_in_hour, _prev_hour) ELSE `{stamp}` END AS prev_stamp",
+        "_c_hour + _c_stamp AS ordinal",
     )
 
 

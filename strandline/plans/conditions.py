@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.dates import add_months, as_date, month_from_index, month_index, spans_days
+from strandline.functions.dates import add_months, as_date, month_diff, month_index, spans_days
 from strandline.functions.labels import flag, in_closed_range, relabel
 from strandline.operators.relational import not_in_keys
 from strandline.operators.sequence import collapse_chains
@@ -48,11 +48,6 @@ class Calendar:
     n: int
     months: int = 24
 
-    @property
-    def _origin(self) -> int:
-        year, month, _ = (int(p) for p in self.first.split("-"))
-        return year * 12 + month - 1
-
     @classmethod
     def of(cls, windows: DataFrame) -> Calendar:
         """Read a calendar table (one small aggregate row) and check that it is regular."""
@@ -73,11 +68,12 @@ class Calendar:
 
     def month(self, on: str | Column) -> Column:
         """Month number of a date, 0 for the first window's first month."""
-        return month_index(on) - self._origin
+        return month_diff(as_date(self.first), on)
 
-    def covers(self, on: str | Column) -> Column:
-        """True where at least one window contains the date."""
-        return self.month(on).between(0, self.n + self.months - 2)
+    def covers(self, on: str) -> Column:
+        """True where at least one window contains the date (a plain range of dates,
+        which reaches the file scan)."""
+        return F.col(on).between(as_date(self.first), self.end(F.lit(self.n - 1)))
 
     def lowest(self, month: Column) -> Column:
         return F.greatest(month - (self.months - 1), F.lit(0))
@@ -86,15 +82,19 @@ class Calendar:
         return F.least(month, F.lit(self.n - 1))
 
     def start(self, k: Column) -> Column:
-        return month_from_index(k + self._origin)
+        return F.add_months(as_date(self.first), k)
 
     def end(self, k: Column) -> Column:
-        return F.last_day(month_from_index(k + (self._origin + self.months - 1)))
+        return F.last_day(F.add_months(as_date(self.first), k + (self.months - 1)))
+
+    def bounds(self, k: Column) -> list[Column]:
+        """Start and end of window k."""
+        return [self.start(k).alias("start_window"), self.end(k).alias("end_window")]
 
     def explode(self, low: Column, high: Column, columns: Sequence[str], df: DataFrame) -> DataFrame:
         """One row per window number from low to high, with the window's bounds."""
         return df.select(*columns, F.explode(F.sequence(low, high)).alias("_k")).select(
-            *columns, self.start(F.col("_k")).alias("start_window"), self.end(F.col("_k")).alias("end_window")
+            *columns, *self.bounds(F.col("_k"))
         )
 
 
@@ -321,9 +321,11 @@ def _claim_flags(specs: Sequence[ConditionSpec], attribute: str) -> Column:
 
 
 def _with_header(claims: DataFrame, claim_header: DataFrame, specs: Sequence[ConditionSpec], how: str) -> DataFrame:
-    header = claim_header.select("id_mcaid", "claim_header_id", "claim_type_id", "first_service_date")
+    header = claim_header.select(
+        "id_mcaid", "claim_header_id", F.col("claim_header_id").alias("_claim"), "claim_type_id", "first_service_date"
+    )
     return header.join(claims, "claim_header_id", how).select(
-        "id_mcaid", "claim_header_id", "claim_type_id", "first_service_date", "ccw_code", "n_dx",
+        "id_mcaid", F.col("_claim").alias("claim_header_id"), "claim_type_id", "first_service_date", "ccw_code", "n_dx",
         _claim_flags(specs, "claim_type1").alias("condition1"),
         _claim_flags(specs, "claim_type2").alias("condition2"),
     )
@@ -370,9 +372,9 @@ def window_claim_threshold(classified: DataFrame, specs: Sequence[ConditionSpec]
         F.max("condition_2_from_date").alias("d_max"),
     )
     m = F.col("m")
+    k = F.explode(F.sequence(calendar.lowest(m), calendar.highest(m))).alias("k")
     per_window = (
-        calendar.explode(calendar.lowest(m), calendar.highest(m), [*keys, "n1", "n2", "d_min", "d_max"], monthly)
-        .groupBy(*keys, "start_window", "end_window")
+        monthly.select(*keys, k, "n1", "n2", "d_min", "d_max").groupBy(*keys, "k")
         .agg(
             F.sum("n1").alias("condition_1_cnt"), F.sum("n2").alias("condition_2_cnt"),
             F.min("d_min").alias("condition_2_min_date"), F.max("d_max").alias("condition_2_max_date"),
@@ -380,7 +382,9 @@ def window_claim_threshold(classified: DataFrame, specs: Sequence[ConditionSpec]
     )
     twice = (F.col("condition_2_cnt") >= 2) & spans_days("condition_2_min_date", "condition_2_max_date")
     two_claims = F.col("ccw_code").isin(*[s.code for s in specs if s.condition_type == 2])
-    return per_window.filter((F.col("condition_1_cnt") >= 1) | (two_claims & twice))
+    return per_window.filter((F.col("condition_1_cnt") >= 1) | (two_claims & twice)).select(
+        *keys, *calendar.bounds(F.col("k")), *[c for c in per_window.columns if c.startswith("condition_")]
+    )
 
 
 def condition_periods(

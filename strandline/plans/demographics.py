@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.dates import age_group, age_years
@@ -23,35 +23,33 @@ LABEL_ORDER = ["AIAN", "Asian", "BlackAA", "MENA", "NHPI", "White", "Other", "un
 
 def recode_ethnicity(demographics: DataFrame) -> DataFrame:
     """Adds ``hisp`` and ``unknown`` as 0 / 1 / 0.5."""
-    answer, race_unknown = F.col("hispanic"), F.col("Unknown_Race")
-    answered = answer.isin("yes", "no", "unknown")
-    hisp = F.when(answer == "yes", 1.0).when(answer.isin("no", "unknown"), 0.0).otherwise(0.5)
-    unknown = (
-        F.when((race_unknown == 1) & answered, 1.0)
-        .when((race_unknown == 0) & (answer == "unknown"), 1.0)
-        .when((race_unknown == 0) & answered, 0.0)
-        .otherwise(0.5)
+    return demographics.selectExpr(
+        "*",
+        "CASE WHEN hispanic = 'yes' THEN 1D WHEN hispanic IN ('no', 'unknown') THEN 0D ELSE 0.5D END AS hisp",
+        """CASE WHEN Unknown_Race = 1 AND hispanic IN ('yes', 'no', 'unknown') THEN 1D
+                WHEN Unknown_Race = 0 AND hispanic = 'unknown' THEN 1D
+                WHEN Unknown_Race = 0 AND hispanic IN ('yes', 'no') THEN 0D ELSE 0.5D END AS unknown""",
     )
-    return demographics.withColumn("hisp", hisp).withColumn("unknown", unknown)
 
 
 def multiple_race_flag(recoded: DataFrame) -> DataFrame:
     """Adds ``sum_race`` and ``multiple_NH`` (several races and not Hispanic)."""
-    several = (F.col("Multiple_race") == 1) | (F.col("sum_race") > 1)
-    multiple = (
-        F.when(several & (F.col("hisp") == 1), 0.0)
-        .when(several & (F.col("hisp") == 0), 1.0)
-        .when((F.col("Multiple_race") == 0) & F.col("sum_race").isin(0.0, 1.0) & F.col("hisp").isin(0.0, 1.0), 0.0)
-        .otherwise(0.5)
+    return recoded.withColumn("sum_race", row_sum(SUMMED)).selectExpr(
+        "*",
+        """CASE WHEN (Multiple_race = 1 OR sum_race > 1) AND hisp IN (0, 1) THEN 1D - hisp
+                WHEN Multiple_race = 0 AND sum_race IN (0, 1) AND hisp IN (0, 1) THEN 0D ELSE 0.5D END AS multiple_NH""",
     )
-    return recoded.withColumn("sum_race", row_sum(SUMMED)).withColumn("multiple_NH", multiple)
 
 
-def _single(zero_label: str | None):
+def _single(zero_label: str | None) -> Column:
     label = first_max_label(LABEL_ORDER)
     if zero_label is None:
         return label
-    return F.when(F.greatest(*[F.col(c) for c in LABEL_ORDER]) == 0, zero_label).otherwise(label)
+    return F.when(F.greatest(*LABEL_ORDER) == 0, zero_label).otherwise(label)
+
+
+def _labelled(rows: DataFrame, race: Column) -> DataFrame:
+    return rows.select("kcid", race.alias("race")).filter("race IS NOT NULL")
 
 
 def single_race_label(flagged: DataFrame, zero_label: str | None = None) -> DataFrame:
@@ -59,18 +57,14 @@ def single_race_label(flagged: DataFrame, zero_label: str | None = None) -> Data
 
     Flags that are all zero give the first label in order, or ``zero_label``.
     """
-    rows = flagged.filter((F.col("hisp") == 0) & (F.col("multiple_NH") == 0))
-    return rows.select("kcid", _single(zero_label).alias("race")).filter(F.col("race").isNotNull())
+    return _labelled(flagged.filter("hisp = 0 AND multiple_NH = 0"), _single(zero_label))
 
 
 def race_rollup(flagged: DataFrame, zero_label: str | None = None) -> DataFrame:
     """One label per person; persons that cannot be classified give no row."""
-    race = (
-        F.when(F.col("hisp") == 1, "Hispanic")
-        .when((F.col("hisp") == 0) & (F.col("multiple_NH") == 1), "Multi-Race,NH")
-        .when((F.col("hisp") == 0) & (F.col("multiple_NH") == 0), _single(zero_label))
-    )
-    return flagged.select("kcid", race.alias("race")).filter(F.col("race").isNotNull())
+    race = F.expr("CASE WHEN hisp = 1 THEN 'Hispanic' WHEN hisp = 0 AND multiple_NH = 1 THEN 'Multi-Race,NH' END")
+    single = F.when(F.expr("hisp = 0 AND multiple_NH = 0"), _single(zero_label))
+    return _labelled(flagged, F.coalesce(race, single))
 
 
 def race_summary(persons: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -103,9 +103,8 @@ def detained_intakes(intake: DataFrame, disposition_ref: DataFrame, start, end,
     rows = intake.filter(
         F.col("call_stamp").isNotNull() & F.col("disposition").isNotNull() & stamp_in_range("call_stamp", start, end)
     )
-    return in_keys(rows, "disposition", (detained_codes(disposition_ref, version), "disposition")).select(
-        "intake_no", "kcid", "call_stamp"
-    ).distinct()
+    codes = detained_codes(disposition_ref, version).select("disposition")
+    return rows.join(codes, "disposition", "left_semi").select("intake_no", "kcid", "call_stamp").distinct()
 
 
 def detention_sequence(detained: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 RAW = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
        "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -147,6 +148,9 @@ UNION ALL SELECT DISTINCT 'orderstatus' AS column_name, o_orderstatus AS code_id
 _TABLE = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(RAW) + r")\b")
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Inputs:
     """The driver tables of one folder and the views on them, as lazy DataFrames."""
 
@@ -154,7 +158,10 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:  # reading the footer is a job of its own: once per file is enough
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
