@@ -56,6 +56,15 @@ def left_join_in_range(df: DataFrame, other: DataFrame, key: str, in_range: Colu
     return df.join(other.filter(in_range), key, "left")
 
 
+def left_join_many(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Left join to a side on which one key may hold a large part of all rows.
+
+    A left join cannot split its right side. An inner join can, so the matched rows
+    come from one and the rows without a partner are added.
+    """
+    return df.join(other, key).unionByName(not_in_keys(df, key, other, key), allowMissingColumns=True)
+
+
 def window_pairs(df: DataFrame, windows: DataFrame, on: str) -> DataFrame:
     """Every (row, calendar window) pair whose window contains the date ``on``.
 

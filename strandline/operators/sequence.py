@@ -75,8 +75,11 @@ def _hot(df, person, stamp, tie, counted):
     )
     hour, at, block = [*person, "_hour"], [*person, "_hour", stamp], [*person, "_hour", stamp, "_block"]
 
-    blocks = df.groupBy(*block).agg(F.expr("count(1) AS _n"), F.expr(f"count(`{counted}`) AS _c"))
-    stamps = blocks.groupBy(*at).agg(F.expr("sum(_n) AS _n"), F.expr("sum(_c) AS _c"), F.expr("min(_block) AS _first_block"))
+    ids = f"struct({', '.join(f'`{c}`' for c in tie)})"
+    blocks = df.groupBy(*block).agg(
+        F.expr("count(1) AS _n"), F.expr(f"count(`{counted}`) AS _c"), F.expr(f"min({ids}) AS _first")
+    )
+    stamps = blocks.groupBy(*at).agg(F.expr("sum(_n) AS _n"), F.expr("sum(_c) AS _c"), F.expr("min(_first) AS _first"))
     hours = stamps.groupBy(*hour).agg(F.expr("sum(_n) AS _n"), F.expr("sum(_c) AS _c"), F.expr(f"max(`{stamp}`) AS _last"))
 
     hours = hours.selectExpr(
@@ -87,7 +90,7 @@ def _hot(df, person, stamp, tie, counted):
     )
     stamps = stamps.selectExpr(
         *at,
-        "_first_block",
+        "_first",
         f"{_before('_n', hour, stamp)} AS _n_stamp",
         f"{_before('_c', hour, stamp)} + _c AS _c_stamp",
         f"{_over(f'lag(`{stamp}`)', hour, [stamp])} AS _prev_in_hour",
@@ -95,11 +98,12 @@ def _hot(df, person, stamp, tie, counted):
     blocks = blocks.selectExpr(*block, f"{_before('_n', at, '_block')} AS _n_block")
 
     offsets = _attach(_attach(blocks, stamps, at), hours, hour)
+    # The row number inside a block is dropped from the plan where no one asks for `position`.
     df = _attach(df.selectExpr("*", f"{_over('row_number()', block, tie)} AS _local"), offsets, block)
     return df.selectExpr(
         *cols,
         "_n_hour + _n_stamp + _n_block + _local AS position",
-        f"CASE WHEN _local = 1 AND _block = _first_block THEN coalesce(_prev_in_hour, _prev_hour) ELSE `{stamp}` END AS prev_stamp",
+        f"CASE WHEN {ids} <=> _first THEN coalesce(_prev_in_hour, _prev_hour) ELSE `{stamp}` END AS prev_stamp",
         "_c_hour + _c_stamp AS ordinal",
     )
 

@@ -116,10 +116,14 @@ def admissions_by_half_year(stays: DataFrame, flag_column: str, person: str = "k
 
 # ---- coverage and id crosswalk ----------------------------------------------------
 
-def coverage_months(coverage: DataFrame, persons: DataFrame, plan: str = "F19", label: str = "Medicaid") -> DataFrame:
-    """Listed persons' months with a coverage row of the plan inside one month."""
+def coverage_months(
+    coverage: DataFrame, persons: DataFrame | None = None, plan: str = "F19", label: str = "Medicaid"
+) -> DataFrame:
+    """Months with a coverage row of the plan inside one month, of listed or all persons."""
     rows = coverage.filter((F.col("plan") == plan) & same_month("start_date", "end_date"))
-    return in_keys(rows, "kcid", (persons, "kcid")).select(
+    if persons is not None:
+        rows = in_keys(rows, "kcid", (persons, "kcid"))
+    return rows.select(
         "kcid", month_key_int("start_date").alias("census_month"), F.lit(label).alias("coverage_plan")
     ).distinct()
 

@@ -51,8 +51,8 @@ def cohort_inpatient_claims(
     ``need_header`` drops claims without a header; otherwise their dates are NULL.
     """
     lines = claim_line.select("id_mcaid", "claim_header_id", "rev_code", *[F.col(c).alias(f"ln_{c}") for c in line_columns])
-    lines = in_keys(lines, "id_mcaid", (cohort, "p1_id"))
     lines = with_code_in(lines, "rev_code", code_rows(codes, ["Inpatient Stay"], "UBREV", version))
+    lines = in_keys(lines.drop("rev_code"), "id_mcaid", (cohort, "p1_id"))
     header = claim_header.select(
         "claim_header_id", F.col("admsn_date").alias("admit_date"), F.col("dschrg_date").alias("discharge_date"),
         "first_service_date", "last_service_date",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.dates import minute_diff, month_end, month_key_text, month_start
 from strandline.functions.labels import count_bucket, flag, ratio, relabel, stamp_in_range, yes_flag
-from strandline.operators.relational import in_keys, spread, subset_share
+from strandline.operators.relational import in_keys, left_join_many, spread, subset_share
 from strandline.operators.sequence import (
     HOT_ROWS, add_gaps, add_year_gaps, first_events, mean_gap, number_events,
 )
@@ -176,7 +176,7 @@ def petition_history(intake: DataFrame, petition: DataFrame, filed_by=None, hot_
     """
     rows = intake.filter(F.col("call_stamp").isNotNull()).select("intake_no", "kcid", "call_stamp")
     if filed_by is None:
-        rows = rows.join(petition, "intake_no", "left")
+        rows = left_join_many(rows, petition.select("intake_no", "petition_no", "file_date"), "intake_no")
     else:
         rows = rows.join(petition.filter(F.col("file_date") <= F.lit(str(filed_by)).cast("date")), "intake_no")
     rows = rows.select("petition_no", "file_date", "intake_no", "kcid", "call_stamp").distinct()
