@@ -182,16 +182,17 @@ def mean_gap(df: DataFrame, person: str, stamp: str, by_person: bool = True) ->
 
 # ---- chains of dated intervals ----------------------------------------------------
 
-def collapse_chains(df: DataFrame, keys: Sequence[str], order: str, new_chain: Column, first: Column, last: Column) -> DataFrame:
-    """Number chains within ``keys`` by a running sum of ``new_chain`` flags and take
-    the first and last bound of each.
+def collapse_chains(df: DataFrame, keys: Sequence[str], order: str, begins: Column, first: Column, last: Column) -> DataFrame:
+    """First and last bound of each chain of rows within ``keys``.
 
-    Callers pass rows already reduced to one per calendar step, which bounds a group
-    by the length of the calendar whatever the person's share of the table.
+    A chain is named by the ``order`` value of the latest row where one begins, so rows
+    that tie fall into one chain in whatever order they arrive. One shuffle by ``keys``
+    serves the window and the grouping. Callers pass at most one row per calendar day
+    and key, which bounds a group whatever the person's share of the table.
     """
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = F.max("_begin").over(Window.partitionBy(*keys).orderBy(order))
     return (
-        df.withColumn("_chain", F.sum(new_chain.cast("int")).over(w))
-        .groupBy(*keys, "_chain").agg(first.alias("first"), last.alias("last"))
+        df.withColumn("_begin", F.when(begins, F.col(order))).withColumn("_chain", latest)
+        .filter("_chain IS NOT NULL").groupBy(*keys, "_chain").agg(first.alias("first"), last.alias("last"))
         .drop("_chain")
     )

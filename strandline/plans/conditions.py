@@ -10,7 +10,7 @@ row per day of the calendar, whatever share of the claims a person holds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,6 +21,7 @@ from strandline.functions.dates import add_months, as_date, month_diff, month_in
 from strandline.functions.labels import flag, in_closed_range, relabel
 from strandline.operators.relational import not_in_keys
 from strandline.operators.sequence import collapse_chains
+from strandline.sources.sinks import append_with_stamp, declare_result
 
 # Value sets, small groups folded together, and the condition a drug group points to.
 DIAGNOSIS_SETS = ["MI-Diagnosis", "SUD-Dx-Value-Set"]
@@ -165,10 +166,8 @@ def overlap_flag(events: DataFrame, months: int = 24) -> DataFrame:
 def forward_window_periods(events: DataFrame, months: int = 24) -> DataFrame:
     """Each event opens a window; overlapping windows form one period."""
     rows = overlap_flag(events, months)
-    chains = collapse_chains(
-        rows, KEYS, "svc_date", F.col("cont") == 0, F.min("svc_date"), F.max("end_window")
-    )
-    return chains.filter(F.col("first").isNotNull()).select(
+    chains = collapse_chains(rows, KEYS, "svc_date", F.col("cont") == 0, F.min("svc_date"), F.max("end_window"))
+    return chains.select(
         *KEYS, F.col("first").alias("from_date"), F.col("last").alias("to_date")
     )
 
@@ -200,13 +199,11 @@ def window_matrix(events: DataFrame, calendar: Calendar) -> DataFrame:
 def _merge_ranges(ranges: DataFrame, keys: Sequence[str], calendar: Calendar) -> DataFrame:
     """Merge window-number ranges [low, high] of a key whose windows touch, overlap or
     follow each other, into dated periods."""
-    ranges = ranges.groupBy(*keys, "low").agg(F.max("high").alias("high"))
-    before = Window.partitionBy(*keys).orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.max("high").over(before)
-    # The window after `reached` that leaves no month uncovered starts `months` later.
-    fresh = F.coalesce(F.col("low") > reached + calendar.months, F.lit(True))
-    chains = collapse_chains(ranges.withColumn("_fresh", fresh), keys, "low", F.col("_fresh"), F.min("low"), F.max("high"))
-    return chains.select(
+    lower = Window.partitionBy(*keys).orderBy("low").rangeBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_reached", F.max("high").over(lower))
+    # The window that follows the last one without leaving a month out starts `months` later.
+    begins = F.coalesce(F.col("low") > F.col("_reached") + calendar.months, F.lit(True))
+    return collapse_chains(ranges, keys, "low", begins, F.min("low"), F.max("high")).select(
         *keys, calendar.start(F.col("first")).alias("from_date"), calendar.end(F.col("last")).alias("to_date")
     )
 
@@ -251,6 +248,32 @@ class ConditionSpec:
         return [(c, f) for c, f in both if c is not None]
 
 
+def specs_from_config(config: Mapping, prefix: str = "ccw_") -> list[ConditionSpec]:
+    """Condition rules from the ``cond_…`` sections of a configuration.
+
+    Lookup columns are the configured names with ``prefix``. Results carry the prefixed
+    short name as description.
+    """
+    def column(name: str | None) -> str | None:
+        return None if name is None else prefix + name
+
+    def types(value) -> tuple[int, ...]:
+        listed = value if isinstance(value, (list, tuple)) else [] if value is None else [value]
+        return tuple(int(v) for v in listed)
+
+    return [
+        ConditionSpec(
+            code=int(c["ccw_code"]), desc=column(c["ccw_abbrev"]), abbrev=column(c["ccw_abbrev"]),
+            condition_type=int(c["condition_type"]), dx_fields=str(c["dx_fields"]),
+            claim_type1=types(c.get("claim_type1")), claim_type2=types(c.get("claim_type2")),
+            exclude1=column(c.get("dx_exclude1")), exclude1_fields=str(c.get("dx_exclude1_fields") or "any"),
+            exclude2=column(c.get("dx_exclude2")), exclude2_fields=str(c.get("dx_exclude2_fields") or "any"),
+            lookback_months=int(c["lookback_months"]),
+        )
+        for name, c in config.items() if name.startswith("cond_")
+    ]
+
+
 # Diagnosis position codes allowed by each field rule.
 DX_FIELDS = {"1": ["01"], "1-2": ["01", "02"]}
 
@@ -440,3 +463,10 @@ def multi_condition_run(
     if missing:
         raise ValueError(f"no calendar for a look-back of {sorted(missing)} months")
     return reduce(DataFrame.unionByName, runs)
+
+
+def load_condition_table(periods: DataFrame, path: str) -> DataFrame:
+    """Rebuild the condition table from the periods of all conditions, with load time."""
+    schema = "id_mcaid string, from_date date, to_date date, ccw_code int, ccw_desc string, last_run timestamp"
+    declare_result(periods.sparkSession, path, schema)
+    return append_with_stamp(periods, path)

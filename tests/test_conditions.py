@@ -157,3 +157,13 @@ def test_claims_without_header_stay_classified(spark):
     lookup = spark.createDataFrame([("K", 10, 1, 0, 0, 0)], "dx string, dx_ver int, c1 int, c2 int, e1 int, e2 int")
     rows = conditions.per_diagnosis(conditions.classify_claims(dx, header, lookup, SPECS[:1])).collect()
     assert [(r.id_mcaid, r.claim_header_id, r.condition1, r.condition2) for r in rows] == [(None, None, 0, 0)] * 2
+
+
+def test_config_gives_the_same_specs():
+    from dataclasses import replace
+
+    from suite.composites import CONFIG, SPECS as written
+
+    assert conditions.specs_from_config(CONFIG) == [replace(s, lookback_months=24) for s in written]
+    only_second = {"cond_z": {"ccw_code": 9, "ccw_abbrev": "z", "condition_type": 1, "dx_fields": 1, "dx_exclude2": "z_excl", "lookback_months": 12}}
+    assert conditions.specs_from_config(only_second)[0].exclusions == [("ccw_z_excl", "any")]
