@@ -156,6 +156,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._views: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         path = f"{self.sf_dir}/{name}.parquet"
@@ -166,6 +167,8 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
-        text = VIEWS[name]
-        used = {m.group(2) for m in _TABLE.finditer(text)}
-        return self.spark.sql(_TABLE.sub(r"\1 {\2}", text), **{t: self.raw(t) for t in used})
+        if name not in self._views:
+            text = VIEWS[name]
+            used = {m.group(2) for m in _TABLE.finditer(text)}
+            self._views[name] = self.spark.sql(_TABLE.sub(r"\1 {\2}", text), **{t: self.raw(t) for t in used})
+        return self._views[name]
