@@ -156,6 +156,17 @@ def top_rows(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def rows_in_both(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Distinct rows found on both sides, NULL equal to NULL. Repeated rows are combined
+    before they are sent, so one row filling a side does not fill a task."""
+    return first.distinct().intersect(second.distinct())
+
+
+def rows_only_in_first(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Distinct rows of the first side that the second does not hold, NULL equal to NULL."""
+    return first.distinct().subtract(second.distinct())
+
+
 def stack_by_name(*frames: DataFrame) -> DataFrame:
     """All rows of all frames; a column absent from a frame is NULL there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

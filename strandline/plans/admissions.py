@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from strandline.functions.dates import day_diff, half_year, month_key_int, same_month
 from strandline.functions.labels import facility_type, fallback_in_range, flag, in_closed_range
 from strandline.operators.relational import (
-    code_rows, first_ranks, in_keys, left_join_in_range, not_in_keys, pivot_ranks, with_code_in,
+    code_rows, first_ranks, in_keys, left_join_in_range, not_in_keys, pivot_ranks, rows_in_both, rows_only_in_first,
+    with_code_in,
 )
 from strandline.plans.cohorts import CANCELLED
 
@@ -53,7 +54,7 @@ def principal_dx_claims(
 
 def inpatient_mh(stays: DataFrame, mh_claims: DataFrame) -> DataFrame:
     """Claims in both sets (whole rows; NULL equals NULL)."""
-    return stays.intersect(mh_claims)
+    return rows_in_both(stays, mh_claims)
 
 
 # ---- authorisation side -----------------------------------------------------------
@@ -154,7 +155,7 @@ def attach_external_id(stays: DataFrame, wide: DataFrame) -> DataFrame:
 def voluntary_by_difference(mh_claims: DataFrame, invol_with_id: DataFrame) -> DataFrame:
     """Mental health (id, date) pairs that are no covered involuntary admission."""
     covered = invol_with_id.filter(F.col("medicaid_flag") == 1).select("p1_id", "admit_date")
-    pairs = mh_claims.select(F.col("id_mcaid").alias("p1_id"), "admit_date").subtract(covered)
+    pairs = rows_only_in_first(mh_claims.select(F.col("id_mcaid").alias("p1_id"), "admit_date"), covered)
     return pairs.select("*", F.lit(0).alias("invol_flag"), F.lit(1).alias("medicaid_flag"))
 
 

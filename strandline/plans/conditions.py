@@ -297,7 +297,7 @@ def _match_codes(claim_dx: DataFrame, dx_lookup: DataFrame, columns: Sequence[st
     ref = dx_lookup.filter(_any([F.col(c) == 1 for c in names])).select(
         F.col("dx").alias("icdcm_norm"), F.col("dx_ver").alias("icdcm_version"), *names
     )
-    return claim_dx.select("id_mcaid", "claim_header_id", "icdcm_norm", "icdcm_version", "icdcm_number").join(
+    return claim_dx.select("claim_header_id", "icdcm_norm", "icdcm_version", "icdcm_number").join(
         ref, ["icdcm_norm", "icdcm_version"]
     )
 
@@ -343,24 +343,26 @@ def _claim_flags(specs: Sequence[ConditionSpec], attribute: str) -> Column:
     ]))
 
 
-def _with_header(claims: DataFrame, claim_header: DataFrame, specs: Sequence[ConditionSpec], how: str) -> DataFrame:
+def _with_header(claims: DataFrame, claim_header: DataFrame, specs: Sequence[ConditionSpec], how: str, person: str) -> DataFrame:
     header = claim_header.select(
-        "id_mcaid", "claim_header_id", F.col("claim_header_id").alias("_claim"), "claim_type_id", "first_service_date"
+        person, "claim_header_id", F.col("claim_header_id").alias("_claim"), "claim_type_id", "first_service_date"
     )
     return header.join(claims, "claim_header_id", how).select(
-        "id_mcaid", F.col("_claim").alias("claim_header_id"), "claim_type_id", "first_service_date", "ccw_code", "n_dx",
+        person, F.col("_claim").alias("claim_header_id"), "claim_type_id", "first_service_date", "ccw_code", "n_dx",
         _claim_flags(specs, "claim_type1").alias("condition1"),
         _claim_flags(specs, "claim_type2").alias("condition2"),
     )
 
 
-def classify_claims(claim_dx: DataFrame, claim_header: DataFrame, dx_lookup: DataFrame, specs: Sequence[ConditionSpec]) -> DataFrame:
+def classify_claims(
+    claim_dx: DataFrame, claim_header: DataFrame, dx_lookup: DataFrame, specs: Sequence[ConditionSpec], person: str = "id_mcaid"
+) -> DataFrame:
     """Qualifying claims with flags and dates by claim type, one row per claim and
     condition; ``n_dx`` is the number of qualifying diagnoses.
 
     Claims without a header stay, with NULLs from it.
     """
-    rows = _with_header(qualifying_claims(claim_dx, dx_lookup, specs), claim_header, specs, "right")
+    rows = _with_header(qualifying_claims(claim_dx, dx_lookup, specs), claim_header, specs, "right", person)
     for i in (1, 2):
         rows = rows.withColumn(
             f"condition_{i}_from_date", F.when(F.col(f"condition{i}") == 1, F.col("first_service_date"))
@@ -374,20 +376,22 @@ def per_diagnosis(classified: DataFrame) -> DataFrame:
     return classified.select(*columns, F.explode(F.sequence(F.lit(1), F.col("n_dx").cast("int")))).select(*columns)
 
 
-def person_window_matrix(persons: DataFrame, calendar: Calendar) -> DataFrame:
+def person_window_matrix(persons: DataFrame, calendar: Calendar, person: str = "id_mcaid") -> DataFrame:
     """Every person with every window."""
-    ids = persons.select("id_mcaid").distinct()
-    return calendar.explode(F.lit(0), F.lit(calendar.n - 1), ["id_mcaid"], ids)
+    ids = persons.select(person).distinct()
+    return calendar.explode(F.lit(0), F.lit(calendar.n - 1), [person], ids)
 
 
-def window_claim_threshold(classified: DataFrame, specs: Sequence[ConditionSpec], calendar: Calendar) -> DataFrame:
+def window_claim_threshold(
+    classified: DataFrame, specs: Sequence[ConditionSpec], calendar: Calendar, person: str = "id_mcaid"
+) -> DataFrame:
     """Claim counts per person, condition and window, for windows that meet the rule.
 
     Claims are summed per month first, so a person gives at most one row per month
     and window.
     """
-    keys = ["id_mcaid", "ccw_code"]
-    dated = classified.filter(F.col("id_mcaid").isNotNull() & calendar.covers("first_service_date"))
+    keys = [person, "ccw_code"]
+    dated = classified.filter(F.col(person).isNotNull() & calendar.covers("first_service_date"))
     monthly = dated.groupBy(*keys, calendar.month("first_service_date").alias("m")).agg(
         F.sum(F.col("n_dx") * F.col("condition1")).alias("n1"),
         F.sum(F.col("n_dx") * F.col("condition2")).alias("n2"),
@@ -411,7 +415,8 @@ def window_claim_threshold(classified: DataFrame, specs: Sequence[ConditionSpec]
 
 
 def condition_periods(
-    claim_dx: DataFrame, claim_header: DataFrame, dx_lookup: DataFrame, specs: Sequence[ConditionSpec], calendar: Calendar
+    claim_dx: DataFrame, claim_header: DataFrame, dx_lookup: DataFrame, specs: Sequence[ConditionSpec], calendar: Calendar,
+    person: str = "id_mcaid",
 ) -> DataFrame:
     """Periods per person and condition, for all conditions that share a calendar.
 
@@ -419,11 +424,11 @@ def condition_periods(
     claims on different days, that is two neighbouring such days. Each gives a range
     of window numbers, so no person is multiplied by the calendar.
     """
-    keys = ["id_mcaid", "ccw_code"]
-    claims = _with_header(qualifying_claims(claim_dx, dx_lookup, specs), claim_header, specs, "inner")
+    keys = [person, "ccw_code"]
+    claims = _with_header(qualifying_claims(claim_dx, dx_lookup, specs), claim_header, specs, "inner", person)
     two_claims = F.col("ccw_code").isin(*[s.code for s in specs if s.condition_type == 2])
     days = (
-        claims.filter(F.col("id_mcaid").isNotNull() & calendar.covers("first_service_date"))
+        claims.filter(F.col(person).isNotNull() & calendar.covers("first_service_date"))
         .groupBy(*keys, "first_service_date")
         .agg(F.max("condition1").alias("one"), F.max(flag((F.col("condition2") == 1) & two_claims)).alias("two"))
         .filter("one = 1 OR two = 1")
@@ -444,19 +449,19 @@ def condition_periods(
         .select(*keys, "r.*").filter("low <= high")
     )
     names = relabel(F.col("ccw_code").cast("string"), {str(s.code): s.desc for s in specs})
-    return _merge_ranges(ranges, keys, calendar).select("id_mcaid", "from_date", "to_date", "ccw_code", names.alias("ccw_desc"))
+    return _merge_ranges(ranges, keys, calendar).select(person, "from_date", "to_date", "ccw_code", names.alias("ccw_desc"))
 
 
 def multi_condition_run(
     claim_dx: DataFrame, claim_header: DataFrame, dx_lookup: DataFrame, specs: Sequence[ConditionSpec],
-    calendars: dict[int, Calendar],
+    calendars: dict[int, Calendar], person: str = "id_mcaid",
 ) -> DataFrame:
     """Periods of every condition; ``calendars`` maps look-back months to the calendar.
 
     Conditions with the same look-back share one pass over the claims.
     """
     runs = [
-        condition_periods(claim_dx, claim_header, dx_lookup, [s for s in specs if s.lookback_months == months], calendar)
+        condition_periods(claim_dx, claim_header, dx_lookup, [s for s in specs if s.lookback_months == months], calendar, person)
         for months, calendar in calendars.items() if any(s.lookback_months == months for s in specs)
     ]
     missing = {s.lookback_months for s in specs} - set(calendars)
@@ -465,8 +470,8 @@ def multi_condition_run(
     return reduce(DataFrame.unionByName, runs)
 
 
-def load_condition_table(periods: DataFrame, path: str) -> DataFrame:
+def load_condition_table(periods: DataFrame, path: str, person: str = "id_mcaid") -> DataFrame:
     """Rebuild the condition table from the periods of all conditions, with load time."""
-    schema = "id_mcaid string, from_date date, to_date date, ccw_code int, ccw_desc string, last_run timestamp"
+    schema = f"{person} string, from_date date, to_date date, ccw_code int, ccw_desc string, last_run timestamp"
     declare_result(periods.sparkSession, path, schema)
     return append_with_stamp(periods, path)

@@ -23,9 +23,9 @@ def table_scan(spark: SparkSession, name: str, columns: Sequence[str] | None = N
     return df if columns is None else df.select(*columns)
 
 
-def source_id_column(source: str) -> str:
-    """Name of the person id column of a data source."""
-    return "id_apde" if source == "mcaid_mcare" else f"id_{source}"
+def source_id_column(source: str, own_names: Mapping[str, str] | None = None) -> str:
+    """Name of the person id column of a data source; combined sources may have a name of their own."""
+    return (own_names or {}).get(source, f"id_{source}")
 
 
 def config_scan(
@@ -36,6 +36,7 @@ def config_scan(
     source: str,
     server: str | None = None,
     root: str | None = None,
+    own_names: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Read the table that a configuration names, with the source's id column first.
 
@@ -45,7 +46,7 @@ def config_scan(
     schema = settings.get(f"{table_key}_schema")
     name = settings[f"{table_key}_table"]
     full = name if root is not None or not schema else f"{schema}.{name}"
-    return table_scan(spark, full, [source_id_column(source), *columns], root)
+    return table_scan(spark, full, [source_id_column(source, own_names), *columns], root)
 
 
 def row_cap(df: DataFrame, keys: Sequence[str], n: int | None) -> DataFrame:

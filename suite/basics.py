@@ -44,9 +44,9 @@ def _(t):
 @query("config_scan", "SELECT id_mcaid, claim_header_id, first_service_date FROM claim_header")
 def _(t):
     t.claim_header.createOrReplaceTempView("suite_claim_header")
-    config = {"claim_header_from_table": "unused", "hhsaw": {"claim_header_from_table": "suite_claim_header"}}
+    config = {"claim_header_from_table": "unused", "second": {"claim_header_from_table": "suite_claim_header"}}
     return tables.config_scan(
-        t.spark, config, "claim_header_from", ["claim_header_id", "first_service_date"], source="mcaid", server="hhsaw"
+        t.spark, config, "claim_header_from", ["claim_header_id", "first_service_date"], source="mcaid", server="second"
     )
 
 
@@ -587,7 +587,7 @@ SELECT DISTINCT d.kcid, d.disposition FROM intake d WHERE EXISTS
   AND year(d.call_stamp) < 1999""")
 def _(t):
     pairs = t.intake.select("kcid", "disposition", F.year("call_stamp").alias("y"))
-    return pairs.filter("y < 1999").drop("y").intersect(pairs.filter("y >= 1999").drop("y"))
+    return rel.rows_in_both(pairs.filter("y < 1999").drop("y"), pairs.filter("y >= 1999").drop("y"))
 
 
 @query("except_distinct", """
@@ -596,7 +596,7 @@ SELECT DISTINCT d.kcid, d.disposition FROM intake d WHERE NOT EXISTS
   AND year(d.call_stamp) < 1999""")
 def _(t):
     pairs = t.intake.select("kcid", "disposition", F.year("call_stamp").alias("y"))
-    return pairs.filter("y < 1999").drop("y").subtract(pairs.filter("y >= 1999").drop("y"))
+    return rel.rows_only_in_first(pairs.filter("y < 1999").drop("y"), pairs.filter("y >= 1999").drop("y"))
 
 
 # ---- scalar functions -------------------------------------------------------------

@@ -80,3 +80,13 @@ def test_no_repeat_gives_an_empty_mean(spark):
     df = spark.createDataFrame([(1, 1, datetime(2020, 1, 1))], SCHEMA)
     assert detentions.overall_mean_gap(df).collect()[0].avg is None
     assert detentions.repeat_gap_groups(df).collect() == []
+
+
+def test_both_routes_on_dates(spark, monkeypatch):
+    monkeypatch.setattr(seq, "TIE_BLOCK", 5)
+    rows = [(i, "a" if i % 3 else None, datetime(2020, 1, 1 + i * 7 % 11).date()) for i in range(60)]
+    df = spark.createDataFrame(rows, "kcid bigint, p1_id string, post_stamp date")
+    plain, split = (
+        {tuple(r) for r in seq.number_events(df, "p1_id", "post_stamp", "kcid", hot_rows=n).collect()} for n in (None, 10)
+    )
+    assert plain == split and len(plain) == 60

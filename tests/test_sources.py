@@ -33,10 +33,10 @@ def test_row_cap(spark):
 
 
 def test_config_scan_prefers_server_settings(spark, tmp_path):
-    spark.createDataFrame([("a", 1, 2)], "id_apde string, x int, y int").write.parquet(str(tmp_path / "mine.parquet"))
-    config = {"from_table": "other", "hhsaw": {"from_schema": "s", "from_table": "mine"}}
-    df = tables.config_scan(spark, config, "from", ["x"], "mcaid_mcare", "hhsaw", root=str(tmp_path))
-    assert df.columns == ["id_apde", "x"]
+    spark.createDataFrame([("a", 1, 2)], "id_all string, x int, y int").write.parquet(str(tmp_path / "mine.parquet"))
+    config = {"from_table": "other", "second": {"from_schema": "s", "from_table": "mine"}}
+    df = tables.config_scan(spark, config, "from", ["x"], "both", "second", str(tmp_path), {"both": "id_all"})
+    assert df.columns == ["id_all", "x"]
     with pytest.raises(Exception, match="other"):
         tables.config_scan(spark, config, "from", ["x"], "mcaid", root=str(tmp_path))
 
