@@ -156,15 +156,21 @@ def top_rows(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def _by_side(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Each distinct row of the two sides once (columns matched by position, NULL equal to
+    NULL) with a flag per side. One grouping: equal rows are combined before the shuffle."""
+    sides = first.selectExpr("*", "1 AS _first", "0 AS _second").union(second.selectExpr("*", "0", "1"))
+    return sides.groupBy(*first.columns).agg(F.max("_first").alias("_first"), F.max("_second").alias("_second"))
+
+
 def rows_in_both(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Distinct rows found on both sides, NULL equal to NULL. Repeated rows are combined
-    before they are sent, so one row filling a side does not fill a task."""
-    return first.distinct().intersect(second.distinct())
+    """Distinct rows found on both sides."""
+    return _by_side(first, second).filter("_first = 1 AND _second = 1").drop("_first", "_second")
 
 
 def rows_only_in_first(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Distinct rows of the first side that the second does not hold, NULL equal to NULL."""
-    return first.distinct().subtract(second.distinct())
+    """Distinct rows of the first side that the second does not hold."""
+    return _by_side(first, second).filter("_first = 1 AND _second = 0").drop("_first", "_second")
 
 
 def stack_by_name(*frames: DataFrame) -> DataFrame:

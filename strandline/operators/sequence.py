@@ -12,7 +12,6 @@ of a block. Both routes give the same columns, and all rows are kept.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

@@ -42,12 +42,13 @@ KEYS = ["id_mcaid", "bh_cond"]
 class Calendar:
     """``n`` windows of ``months`` months; window k starts k months after ``first``.
 
-    ``first`` is the first of a month; windows end on the last day of a month.
+    ``first`` is the first of a month; windows end on the last day of a month. The
+    three may also be columns, for calendars that differ from row to row.
     """
 
-    first: str
-    n: int
-    months: int = 24
+    first: str | Column
+    n: int | Column
+    months: int | Column = 24
 
     @classmethod
     def of(cls, windows: DataFrame) -> Calendar:
@@ -452,22 +453,36 @@ def condition_periods(
     return _merge_ranges(ranges, keys, calendar).select(person, "from_date", "to_date", "ccw_code", names.alias("ccw_desc"))
 
 
+def _calendar_by_code(used: Mapping[int, Calendar]) -> Calendar:
+    """The calendar of each row's condition."""
+    if len(set(used.values())) == 1:
+        return next(iter(used.values()))
+
+    def pick(value) -> Column:
+        return reduce(lambda acc, kv: acc.when(F.col("ccw_code") == kv[0], value(kv[1])), used.items(), F)
+
+    return Calendar(pick(lambda c: as_date(c.first)), pick(lambda c: c.n), pick(lambda c: c.months))
+
+
 def multi_condition_run(
     claim_dx: DataFrame, claim_header: DataFrame, dx_lookup: DataFrame, specs: Sequence[ConditionSpec],
     calendars: dict[int, Calendar], person: str = "id_mcaid",
 ) -> DataFrame:
     """Periods of every condition; ``calendars`` maps look-back months to the calendar.
 
-    Conditions with the same look-back share one pass over the claims.
+    All look-backs share one pass over the claims: the calendar is a column.
     """
-    runs = [
-        condition_periods(claim_dx, claim_header, dx_lookup, [s for s in specs if s.lookback_months == months], calendar, person)
-        for months, calendar in calendars.items() if any(s.lookback_months == months for s in specs)
-    ]
     missing = {s.lookback_months for s in specs} - set(calendars)
     if missing:
         raise ValueError(f"no calendar for a look-back of {sorted(missing)} months")
-    return reduce(DataFrame.unionByName, runs)
+    used = {s.code: calendars[s.lookback_months] for s in specs}
+    # Bounds over all calendars are constants, so they reach the file scan.
+    start = min(c.first for c in used.values())
+    ends = [c.end(F.lit(c.n - 1)) for c in set(used.values())]
+    header = claim_header.filter(
+        F.col("first_service_date").between(as_date(start), ends[0] if len(ends) == 1 else F.greatest(*ends))
+    )
+    return condition_periods(claim_dx, header, dx_lookup, specs, _calendar_by_code(used), person)
 
 
 def load_condition_table(periods: DataFrame, path: str, person: str = "id_mcaid") -> DataFrame:

@@ -142,10 +142,33 @@ def test_multi_condition_run_by_look_back(spark):
     calendars = {12: Calendar("2016-01-01", 12, 12), 24: Calendar("2016-01-01", 12, 24)}
     got = {tuple(r) for r in conditions.multi_condition_run(dx, header, lookup, specs, calendars).collect()}
     assert got == {("P", date(2016, 1, 1), date(2017, 4, 30), 1, "one"), ("P", date(2016, 1, 1), date(2018, 4, 30), 2, "two")}
+    plan = conditions.multi_condition_run(dx, header, lookup, specs, calendars)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2  # codes and headers, once for both look-backs
     with pytest.raises(ValueError):
         conditions.multi_condition_run(dx, header, lookup, specs, {24: calendars[24]})
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_mixed_look_backs_equal_brute_force(spark, seed):
+    from dataclasses import replace
+
+    rng = random.Random(seed)
+    header = {c: (f"P{rng.randrange(6)}", rng.randrange(4), random_dates(rng, 1)[0]) for c in range(120)}
+    lookup = {f"K{i}": {n: int(rng.random() < 0.4) for n in ("c1", "c2", "e1", "e2")} for i in range(10)}
+    dx = [(header[c][0], c, f"K{rng.randrange(10)}", 10, f"{n:02d}") for c in range(120) for n in range(1, 4)]
+    specs = [replace(s, lookback_months=m) for s, m in zip(SPECS, (1, 3, 24))]
+    calendars = {1: CALENDARS[0], 3: CALENDARS[1], 24: CALENDARS[2]}
+    frames = (
+        spark.createDataFrame(dx, "id_mcaid string, claim_header_id int, icdcm_norm string, icdcm_version int, icdcm_number string"),
+        spark.createDataFrame([(h[0], c, h[1], h[2]) for c, h in header.items()],
+                              "id_mcaid string, claim_header_id int, claim_type_id int, first_service_date date"),
+        spark.createDataFrame([(k, 10, v["c1"], v["c2"], v["e1"], v["e2"]) for k, v in lookup.items()],
+                              "dx string, dx_ver int, c1 int, c2 int, e1 int, e2 int"),
+    )
+    want = set().union(*[brute_periods(dx, header, lookup, s, calendars[s.lookback_months]) for s in specs])
+    assert want and {tuple(r) for r in conditions.multi_condition_run(*frames, specs, calendars).collect()} == want
+
+
 def test_unknown_field_rule_is_refused():
     with pytest.raises(ValueError):
         conditions.dx_field_filter("3")

@@ -3,7 +3,6 @@
 from datetime import date, datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from strandline.functions import dates, labels
 from strandline.operators import relational as rel
@@ -127,3 +126,10 @@ def test_flag_is_set_before_the_cap(spark):
     rows = [(date(2021, 3, 1),), (None,), (date(2020, 12, 31),)]
     out = rel.conditional_cap(spark.createDataFrame(rows, "e date"), "e", "2021-01-01", "2020-12-31", "f")
     assert [(r.e, r.f) for r in out.collect()] == [(date(2020, 12, 31), 1), (date(2020, 12, 31), 1), (date(2020, 12, 31), 0)]
+
+
+def test_set_operations_are_distinct_and_match_missing_values(spark):
+    a = spark.createDataFrame([(1, None), (1, None), (None, None), (2, "x"), (3, "y")], "k int, v string")
+    b = spark.createDataFrame([(1, None), (None, None), (None, None), (2, "z"), (4, "y")], "other int, name string")
+    assert sorted(map(tuple, rel.rows_in_both(a, b).collect()), key=str) == sorted(map(tuple, a.intersect(b).collect()), key=str)
+    assert sorted(map(tuple, rel.rows_only_in_first(a, b).collect())) == [(2, "x"), (3, "y")]
