@@ -35,15 +35,13 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> t
     """(rows of ordinary keys, rows of keys with more than ``hot_rows`` rows).
 
     Counts are combined before the shuffle; the list broadcast is bounded by
-    rows / hot_rows.
+    rows / hot_rows. Rows are marked by an outer join and not filtered by a semi and an
+    anti join: those would sink below the caller's own steps, and each route would run
+    the steps again instead of reading their shuffle output.
     """
-    hot = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(*keys)
-    )
-    hot = F.broadcast(hot)
-    return _attach(df, hot, keys, "left_anti"), _attach(df, hot, keys, "left_semi")
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
+    marked = _attach(df, F.broadcast(hot.select(*keys, F.lit(True).alias("_large"))), keys, "left")
+    return marked.filter("_large IS NULL").drop("_large"), marked.filter("_large").drop("_large")
 
 
 def _over(function: str, parent: Sequence[str], order: Sequence[str], frame: str = "") -> str:

@@ -72,3 +72,14 @@ def test_conditions_share_one_pass(spark, small, no_broadcast):
     """Both conditions of the run read the diagnoses once."""
     plan = plan_of(spark, small, "multi_condition_run").split("Initial Plan")[-1]
     assert len(re.findall(r"FileScan parquet \[[^\]]*l_partkey", plan)) == 1
+
+
+def test_routes_for_large_persons_share_the_steps_before_them(spark, small):
+    """The intakes are read and made distinct once; both routes take the shuffle output."""
+    df = QUERIES["episode_gaps"](spark, small)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # reuse is visible only in a plan fixed ahead
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
