@@ -10,7 +10,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.session import work_folder
@@ -27,6 +27,23 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def with_row(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The text (null: empty) and, as one struct, the other columns of its row and whether the text was null."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.col(text_col).isNull().alias("_null_text"), *others).alias("row"))
+
+
+def rows_again(df: DataFrame, like: DataFrame, text_col: str = "text") -> DataFrame:
+    """The columns of ``like`` from (text, row)."""
+    text = F.when(~F.col("row._null_text"), F.col("text")).alias(text_col)
+    return df.select(*[text if c == text_col else F.col(f"row.`{c}`").alias(c) for c in like.columns])
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Equal for rows with equal id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(id_col).isNull(), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from strandline.llm.common import documents, id_and_text, text_slices, written
+from strandline.llm.common import documents, id_and_text, rows_again, text_slices, with_row, written
 
 FEATURES = (
     "chars", "words", "word_length", "capitals", "digits", "symbols", "marks", "exclamations", "line_length", "distinct_words",
@@ -56,6 +57,19 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, x array<double>")
 
 
+def _with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
+    """(text, row, x) of every row of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                x = pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column("text"), part.column("row"), x], names=["text", "row", "x"])
+
+    rows = with_row(docs, text_col)
+    return rows.mapInArrow(run, StructType([rows.schema["text"], rows.schema["row"], StructField("x", ArrayType(DoubleType()))]))
+
+
 @dataclass
 class Discriminant:
     """Class means, and of each shrunk covariance the Cholesky factor's inverse and the log determinant."""
@@ -133,6 +147,20 @@ def score(marked: DataFrame, model: Discriminant) -> DataFrame:
     return marked.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
 
 
+def passing(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that score ``threshold`` or more."""
+    marked = written(_with_statistics(docs, text_col), "quality-rows")
+    taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where(~held_out())
+    model = fit(marked.select(F.col(f"row.{id_col}").cast("long").alias("doc_id"), "x").join(taught, "doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = model.scores(batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES))) >= threshold
+            yield batch.select(["text", "row"]).filter(pa.array(good))
+
+    return rows_again(marked.mapInArrow(run, StructType([marked.schema["text"], marked.schema["row"]])), docs, text_col)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that no label is learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import documents, id_and_text
+from strandline.llm.common import documents, id_and_text, rows_again, with_row
 
 # White space between words, and the characters counted as symbols.
 GAP = r"[\x20\x09-\x0D]"
@@ -23,7 +23,7 @@ RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 50"),
     ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("repeated_lines", "2 * n_dup_lines > n_lines"),
     ("capitals", "10 * n_capitals > 4 * word_chars"),
     ("exclamations", "10 * n_exclamations > 2 * n_words"),
     ("short_words", "word_chars < 2 * n_words"),
@@ -50,9 +50,12 @@ def _less(text: Column, characters: str) -> Column:
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the measurements. A null text has no words, and zero of everything."""
-    df = id_and_text(docs, id_col, text_col)
+    return _measure(id_and_text(docs, id_col, text_col), "doc_id")
+
+
+def _measure(df: DataFrame, *kept: str) -> DataFrame:
     df = df.select(
-        "doc_id",
+        *kept,
         F.filter(F.split("text", GAP + "+"), lambda w: w != "").alias("words"),
         F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
@@ -66,7 +69,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         lambda w, i: F.struct(F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("p")),
     )
     df = df.select(
-        "doc_id", "word_chars", "n_symbols", "n_capitals", "n_exclamations",
+        *kept, "word_chars", "n_symbols", "n_capitals", "n_exclamations",
         F.size("words").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.sort_array(window).alias("windows"),
@@ -81,7 +84,9 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.transform("places", lambda p, i: F.coalesce(F.least(F.get("places", i + 1) - p, F.lit(3)), F.lit(3))),
         F.lit(0).cast("long"), lambda total, n: total + n,
     )
-    return df.withColumn("n_repeat_words", covered).drop("places")
+    # One row made of one: a filter on measurements then stays above, where each is evaluated once.
+    measures = F.struct(*[c for c in df.columns if c not in (*kept, "places")], covered.alias("n_repeat_words"))
+    return df.select(*kept, F.inline(F.array(measures)))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,11 +95,15 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Rows are independent: no shuffle. Repeated rows give repeated results, an empty
     table none; a null id stays null.
     """
+    return _marked(measure(docs, id_col, text_col))
+
+
+def _marked(measured: DataFrame) -> DataFrame:
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (_, rule) in enumerate(RULES)]
     fails = bits[0]
     for b in bits[1:]:
         fails = fails.bitwiseOR(b)
-    return measure(docs, id_col, text_col).withColumn("fails", fails)
+    return measured.withColumn("fails", fails)
 
 
 def judge(marked: DataFrame, policy: str = "v2") -> DataFrame:
@@ -102,6 +111,12 @@ def judge(marked: DataFrame, policy: str = "v2") -> DataFrame:
     return marked.withColumn("kept", F.col("fails").bitwiseAND(F.lit(mask(POLICIES[policy])).cast("long")) == 0)
 
 
+def passing(docs: DataFrame, policy: str = "v2", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that a policy keeps."""
+    marked = judge(_marked(_measure(with_row(docs, text_col), "row", "text")), policy)
+    return rows_again(marked.where("kept"), docs, text_col)
+
+
 def ablations(marked: DataFrame, policy: str = "v2") -> DataFrame:
     """Per rule of a policy: documents it fails, those only it fails, and those kept without it.
 

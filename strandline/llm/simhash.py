@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import components, documents, id_and_text, text_slices, written
+from strandline.llm.common import components, documents, id_and_text, row_key, text_slices, written
 
 # Constants of the 64-bit XXH64 hash.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (
@@ -104,14 +104,16 @@ def simhashes(texts: list[str], shingle: int, seed: int = 42) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp: the fingerprint's 64 bits as a long); texts without a word have zero."""
+    """(doc_id, key, fp) of every row: ``fp`` the fingerprint's 64 bits as a long, zero for texts without a word;
+    ``key`` is equal for rows with equal id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, most=1_000_000):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(simhashes(texts, shingle).view(np.int64))], names=["doc_id", "fp"])
+                fp = pa.array(simhashes(texts, shingle).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), fp], names=["doc_id", "key", "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs, id_col, text_col).withColumn("key", row_key()).mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def grid_points(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,19 +233,37 @@ def near_links(distinct: DataFrame, most: int = 4, block: int = 4096) -> DataFra
     return groups.repartition("point", "low", "high").sortWithinPartitions("point", "low", "high").mapInArrow(verify, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links.
+def _components(marked: DataFrame) -> DataFrame:
+    """(fp, component) of every fingerprint; the component is its smallest fingerprint."""
+    classes = written(marked.select("fp").distinct(), "fingerprint-classes")
+    member = components(near_links(classes, 4))
+    return written(classes.join(member, classes.fp == member.node, "left").select("fp", F.coalesce("component", "fp").alias("component")), "fingerprint-components")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of up to 4 bits.
 
     Equal fingerprints link; so do texts without a word (fingerprint zero). Null texts are
     empty ones. Rows with a null id take part but have no say in the component's name;
     repeated rows give repeated results, an empty table none.
     """
     marked = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    member = written(components(near_links(classes, most)), "fingerprint-components")
-    named = classes.join(member, classes.fp == member.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.join(named.join(names, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    member = _components(marked)
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(member, "fp")
+    names = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    return marked.join(member.join(names, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that stand for their component: the smallest id (null last), once."""
+    marked = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    member = _components(marked)
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    least = marked.groupBy("fp").agg(F.min(row).alias("row")).join(member, "fp")
+    chosen = least.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.key").alias("key"))
+    keyed = docs.select(row_key(id_col, text_col).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # Equal rows share a key; one of them is enough.
+    return keyed.join(chosen, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

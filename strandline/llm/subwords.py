@@ -64,6 +64,11 @@ class Subwords:
             del self.known[unit]
         return out
 
+    def encode_units(self, units: Sequence[str]) -> list[bytes]:
+        """The ids of each of some units."""
+        self._learn(set(units))
+        return [self.known[u] for u in units]
+
     def counts(self, texts: Sequence[str]) -> list[list[tuple[int, int]]]:
         """(characters, tokens) of every unit of each text."""
         split = [self.units(t) for t in texts]

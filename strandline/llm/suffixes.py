@@ -21,11 +21,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from strandline.llm.common import byte_sizes, documents, slices, written
+from strandline.llm.common import byte_sizes, documents, row_key, rows_again, slices, with_row, written
 
 WINDOW = 200
 DIGIT = 32
@@ -138,9 +140,8 @@ def _tied(digit: np.ndarray, least: np.ndarray, start: np.ndarray, stop: np.ndar
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, and key: rows with equal keys are equal rows."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+    """text, key (rows with equal keys are equal in id and text), and the whole row."""
+    return with_row(docs, text_col).withColumn("key", row_key(f"row.{id_col}"))
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -288,16 +289,17 @@ def repeated_windows(keyed: DataFrame, together: int = 2048) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept): every text without the bytes of repeated windows.
+    """(row, n_bytes, n_removed, spans, kept): every text without the bytes of repeated windows.
 
     A window is 200 bytes of a text's UTF-8 that also start anywhere else, in the same
     text or another (equal rows are each other's copies). All its occurrences go; spans
     are the removed byte ranges and ``kept`` the remaining bytes, which may end inside a
-    character. Null texts count as empty; texts under 200 bytes stay whole; an empty
-    table gives no rows; null and repeated ids are no matter.
+    character. ``row`` has the other columns of ``docs``. Null texts count as empty; texts
+    under 200 bytes stay whole; an empty table gives no rows; null and repeated ids are
+    no matter.
     """
     keyed = _keyed(docs, id_col, text_col)
-    covers = repeated_windows(keyed).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("covers"))
+    covers = repeated_windows(keyed.select("key", "text")).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("covers"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,18 +320,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         at = end
                     kept.append(raw[at:])
                     rows.append((len(raw), sum(e - s for s, e in spans), [{"start": s, "stop": e} for s, e in spans], b"".join(kept)))
-                n, removed, spans_, kept_ = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
-                     pa.array(spans_, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept_, pa.binary())],
-                    names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
-                )
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["row", "n_bytes", "n_removed", "spans", "kept"])
+
+    span = ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())]))
+    schema = StructType([keyed.schema["row"], StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("spans", span), StructField("kept", BinaryType())])
+    return keyed.join(covers, "key", "left").select("row", "text", "covers").mapInArrow(cut, schema)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """All rows of ``docs`` with repeated windows cut from the text (and characters cut in half), and the length, if there, renewed."""
+    found = remove_repeats(docs, id_col, text_col)
+    changed = F.col("n_removed") > 0
+
+    def whole(column: pd.Series) -> pd.Series:
+        return column.map(lambda b: b.decode("utf-8", "ignore"))
 
-    joined = keyed.join(covers, "key", "left").select("doc_id", "text", "covers")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept binary")
+    out = found.select("row", changed.alias("changed"), F.pandas_udf(whole, "string")("kept").alias("text"))
+    if length_col not in docs.columns:
+        return rows_again(out, docs, text_col)
+    length = F.when(F.col("changed"), F.length("text")).otherwise(F.col(f"row.`{length_col}`")).cast(docs.schema[length_col].dataType)
+    return rows_again(out.withColumn("row", F.col("row").withField(f"`{length_col}`", length)), docs, text_col)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: bytes, removed bytes and spans, and the digest of what remains."""
-    found = remove_repeats(documents(spark, sf_dir))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    found = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
