@@ -5,9 +5,10 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from suite import registry
 from suite.compare import differences, duck
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = dict(registry.QUERIES), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,7 @@ def test_every_survey_row_is_registered():
     slugs = re.findall(r"^\| [SPJAWOUFC]\d+ `(\w+)`", survey, re.M)
     assert [s for s in slugs if s not in QUERIES] == []
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
