@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -110,6 +110,31 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return star.unionByName(roots.select("node", F.col("node").alias("component")))
 
 
+class Recent(dict):
+    """A dictionary of at most about ``limit`` entries that forgets what was not asked for lately.
+
+    When half full it is set aside whole; what is asked for again is taken back from there.
+    """
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.half, self.aside = limit // 2, {}
+
+    def missing(self, keys: Iterable) -> list:
+        """The keys that are not known; the others are ready to be looked up until the next call."""
+        if len(self) > self.half:
+            self.aside = dict(self)
+            self.clear()
+        out = []
+        for k in keys:
+            if k not in self:
+                if k in self.aside:
+                    self[k] = self.aside.pop(k)
+                else:
+                    out.append(k)
+        return out
+
+
 _SHIPPED: set[str] = set()
 
 

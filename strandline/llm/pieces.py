@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm.common import documents, id_and_text, text_slices
+from strandline.llm.common import Recent, documents, id_and_text, text_slices
 from strandline.llm.subwords import default_path
 
 BLANK = "▁"
@@ -131,12 +131,12 @@ class PieceModel:
 
     Texts are cut where no piece of the vocabulary can reach across (before a run of
     blanks, and around line breaks where these are in no longer piece); each part goes
-    through the model once and is remembered, at most ``limit`` parts at a time.
+    through the model once and is remembered, about ``limit`` parts at a time.
     """
 
     _loaded: dict[str, PieceModel] = {}
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -160,8 +160,7 @@ class PieceModel:
         self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(BLANK, " ").encode() for p in model.pieces]
         self.byte = [p.type == 6 for p in model.pieces]
         self.taken = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces], np.int64)
-        self.known: dict[str, tuple] = {}
-        self.limit = limit
+        self.known = Recent(limit)
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -186,9 +185,7 @@ class PieceModel:
                 out, origin = self.normalise(text)
                 split.append(self.parts(out.decode()))
                 aligned.append(origin)
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new = [p for p in set(chain.from_iterable(split)) if p not in self.known]
+        new = self.known.missing(set(chain.from_iterable(split)))
         for part, ids in zip(new, self.library.encode(new, num_threads=1) if new else []):
             self.known[part] = (np.array(ids, "<i4").tobytes(), ",".join(map(str, ids)).encode(), self._surface(ids))
         out = [[self.known[p] for p in parts] for parts in split]

@@ -14,6 +14,8 @@ from itertools import chain
 
 import numpy as np
 
+from strandline.llm.common import Recent
+
 # The characters with the Unicode property White_Space.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -27,18 +29,17 @@ _LOADED: dict[tuple, Subwords] = {}
 class Subwords:
     """``encode`` gives each text's ids as little-endian unsigned 32-bit integers.
 
-    ``limit`` bounds the units remembered (when full, they are forgotten together);
-    units over 64 characters are encoded but not remembered longer than a slice.
+    ``limit`` bounds the units remembered (those not met lately go first); units over 64 characters are encoded but not remembered longer than a slice.
     """
 
-    def __init__(self, path: str, unit: str, limit: int = 300_000):
+    def __init__(self, path: str, unit: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.units = re.compile(unit).findall
-        self.limit, self.known = limit, {}
+        self.known = Recent(limit)
 
     @classmethod
     def load(cls, path: str, unit: str) -> Subwords:
@@ -48,9 +49,7 @@ class Subwords:
         return _LOADED[path, unit]
 
     def _learn(self, units: set[str]) -> None:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new = [u for u in units if u not in self.known]
+        new = self.known.missing(units)
         if new:
             for unit, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
                 self.known[unit] = np.array(e.ids, "<u4").tobytes()
