@@ -29,7 +29,8 @@ _LOADED: dict[tuple, Subwords] = {}
 class Subwords:
     """``encode`` gives each text's ids as little-endian unsigned 32-bit integers.
 
-    ``limit`` bounds the units remembered (those not met lately go first); units over 64 characters are encoded but not remembered longer than a slice.
+    ``limit`` bounds the units remembered (those not met lately go first); units over 64
+    characters are encoded but not remembered longer than a slice.
     """
 
     def __init__(self, path: str, unit: str, limit: int = 1_000_000):

@@ -207,11 +207,34 @@ def _ranges(key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key[first], start[first], np.diff(np.append(first, len(key)))
 
 
+STRETCH = 16
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs cut where the distance of a window's start to the digit is a multiple of STRETCH."""
+    for batch in batches:
+        for a, b in slices(byte_sizes(batch.column("body")), 500_000):
+            part = batch.slice(a, b - a)
+            rows = []
+            for digit, key, start, copies, body in zip(*(part.column(c).to_pylist() for c in ("digit", "key", "start", "copies", "body"))):
+                digits, windows = rolling(np.frombuffer(body, np.uint8))
+                place = int(np.flatnonzero(digits.view(np.int64) == digit)[0])
+                cuts = [0, *range((place - 1) % STRETCH + 1, len(windows), STRETCH), len(windows)]
+                for x, y in zip(cuts, cuts[1:]):
+                    if x < y:
+                        own = windows[x:y].view(np.int64).tolist()
+                        content = int.from_bytes(hashlib.blake2b(windows[x:y].tobytes(), digest_size=8).digest(), "little", signed=True)
+                        rows.append((digit, content, key, start + x, copies, own))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["digit", "content", "key", "start", "copies", "windows"])
+
+
 def repeated_windows(keyed: DataFrame, together: int = 2048) -> DataFrame:
     """(key, start, n): ranges of starts of windows that start anywhere else, too.
 
     Groups of up to ``together`` different runs are settled in one task; larger ones are
-    dealt by window, so that no task holds more of a group than that.
+    dealt by stretches of windows, and what is left by window, so that no task holds more
+    of a group than that.
     """
     every = written(first_pass(keyed), "suffix-runs")
     shared = every.groupBy("digit").agg(F.count("*").alias("members"), F.max("tied").alias("tied")).where("members > 1 or tied")
@@ -269,23 +292,16 @@ def repeated_windows(keyed: DataFrame, together: int = 2048) -> DataFrame:
     ranges = "key long, start int, n int"
     grouped = small.repartition("digit").sortWithinPartitions("digit").mapInArrow(within, ranges)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(byte_sizes(batch.column("body")), 1_000_000):
-                part = batch.slice(a, b - a)
-                row, window = _windows(part.column("body").to_pylist())
-                n = part.column("n").to_numpy().astype(np.int64)
-                start = part.column("start").to_numpy().astype(np.int64)[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part.column("digit").to_numpy()[row]), pa.array(window.view(np.int64)), pa.array(part.column("key").to_numpy()[row]),
-                     pa.array(start, pa.int32()), pa.array(part.column("copies").to_numpy()[row])],
-                    names=["digit", "window", "key", "start", "copies"],
-                )
-
-    single = large.mapInArrow(split, "digit long, window long, key long, start int, copies long")
+    # Large groups are refined once more before single windows: each run in stretches of up to 16
+    # starts at equal distances from the digit, which copies share wherever no edit is near.
+    stretches = written(large.mapInArrow(_stretches, "digit long, content long, key long, start int, copies long, windows array<long>"), "suffix-stretches")
+    distinct = stretches.groupBy("digit", "content").agg(F.count("*").alias("times"), F.first(F.struct("key", "start", "copies", "windows")).alias("one"))
+    shared_stretch = distinct.where("times > 1").select("digit", "content")
+    dealt = stretches.where("copies = 1").join(shared_stretch, ["digit", "content"], "left_semi").select("key", "start", F.size("windows").alias("n"))
+    single = distinct.select("digit", F.col("one.key").alias("key"), F.col("one.start").alias("start"), ((F.col("one.copies") == 1) & (F.col("times") == 1)).alias("open"), F.posexplode("one.windows").alias("at", "window"))
     twice = single.groupBy("digit", "window").agg(F.count("*").alias("times")).where("times > 1").select("digit", "window")
-    dealt = single.where("copies = 1").join(twice, ["digit", "window"], "left_semi").select("key", "start", F.lit(1).alias("n"))
-    return settled.unionByName(grouped).unionByName(dealt)
+    alone = single.where("open").join(twice, ["digit", "window"], "left_semi").select("key", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
+    return settled.unionByName(grouped).unionByName(dealt).unionByName(alone)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
