@@ -136,7 +136,7 @@ class PieceModel:
 
     _loaded: dict[str, PieceModel] = {}
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 

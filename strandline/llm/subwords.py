@@ -33,7 +33,7 @@ class Subwords:
     characters are encoded but not remembered longer than a slice.
     """
 
-    def __init__(self, path: str, unit: str, limit: int = 1_000_000):
+    def __init__(self, path: str, unit: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
