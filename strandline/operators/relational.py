@@ -117,13 +117,18 @@ def pivot_ranks(df: DataFrame, by: str, rank: str, value: str, ranks: Sequence[i
     return wide.select(by, *[F.col(f"`{r}`").alias(f"{prefix}{r}") for r in ranks])
 
 
-def spread(df: DataFrame, by: Sequence[str], name: str, value: str, names: Sequence) -> DataFrame:
+def spread(df: DataFrame, by: Sequence[str], name: str, value: str, names: Sequence, only_listed: bool = False) -> DataFrame:
     """Long to wide on listed names. Two rows for one cell are an error, as the cell
-    could hold only one of them."""
+    could hold only one of them; so is a name that isn't listed, unless ``only_listed``
+    says that the others are not wanted."""
+    listed = F.coalesce(F.col(name).isin(list(names)), F.lit(False))
+    if only_listed:
+        df = df.where(listed)
     n = F.count(F.lit(1)).alias("_n")
     cells = df.groupBy(*by, name).agg(n, F.first(value).alias("_v"))
     message = F.concat(F.lit(f"more than one {value} for {name} "), F.col(name).cast("string"))
-    checked = F.when(F.col("_n") == 1, F.col("_v")).otherwise(F.raise_error(message))
+    unlisted = F.concat(F.lit(f"{name} is not listed: "), F.coalesce(F.col(name).cast("string"), F.lit("NULL")))
+    checked = F.when(~listed, F.raise_error(unlisted)).when(F.col("_n") == 1, F.col("_v")).otherwise(F.raise_error(message))
     # Numeric cells: a cell is present once, so max() returns it unchanged.
     return cells.withColumn("_v", checked).groupBy(*by).pivot(name, list(names)).agg(F.max("_v"))
 

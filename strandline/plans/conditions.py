@@ -250,7 +250,7 @@ class ConditionSpec:
 
 
 def specs_from_config(config: Mapping, prefix: str = "ccw_") -> list[ConditionSpec]:
-    """Condition rules from the ``cond_…`` sections of a configuration.
+    """Condition rules from the sections of a configuration with ``cond_`` in their name.
 
     Lookup columns are the configured names with ``prefix``. Results carry the prefixed
     short name as description.
@@ -271,7 +271,7 @@ def specs_from_config(config: Mapping, prefix: str = "ccw_") -> list[ConditionSp
             exclude2=column(c.get("dx_exclude2")), exclude2_fields=str(c.get("dx_exclude2_fields") or "any"),
             lookback_months=int(c["lookback_months"]),
         )
-        for name, c in config.items() if name.startswith("cond_")
+        for name, c in config.items() if "cond_" in name
     ]
 
 
@@ -315,7 +315,11 @@ def claim_exclusion(claim_dx: DataFrame, dx_lookup: DataFrame, spec: ConditionSp
 
 def qualifying_claims(claim_dx: DataFrame, dx_lookup: DataFrame, specs: Sequence[ConditionSpec]) -> DataFrame:
     """Claims per condition with their number of qualifying diagnoses, without the
-    claims the condition excludes. All conditions in one pass over the diagnoses."""
+    claims the condition excludes. All conditions in one pass over the diagnoses.
+
+    A diagnosis without a claim id stands alone: no exclusion reaches it, and it shares
+    no row with others of its kind.
+    """
     needed = [s.abbrev for s in specs] + [c for s in specs for c, _ in s.exclusions]
     matched = _match_codes(claim_dx, dx_lookup, needed)
 
@@ -324,16 +328,17 @@ def qualifying_claims(claim_dx: DataFrame, dx_lookup: DataFrame, specs: Sequence
         bars = _any([(F.col(c) == 1) & dx_field_filter(f) for c, f in spec.exclusions])
         return F.when(
             counts | bars,
-            F.struct(F.lit(spec.code).alias("ccw_code"), flag(counts).alias("counts"), flag(bars).alias("bars")),
+            F.struct(F.lit(spec.code).alias("ccw_code"), flag(counts).alias("counts"), flag(bars & F.col("claim_header_id").isNotNull()).alias("bars")),
         )
 
+    alone = F.when(F.col("claim_header_id").isNull(), F.monotonically_increasing_id()).alias("_alone")
     hits = matched.select(
-        "claim_header_id", F.explode(F.filter(F.array(*[hit(s) for s in specs]), lambda h: h.isNotNull())).alias("h")
-    ).select("claim_header_id", "h.*")
+        "claim_header_id", alone, F.explode(F.filter(F.array(*[hit(s) for s in specs]), lambda h: h.isNotNull())).alias("h")
+    ).select("claim_header_id", "_alone", "h.*")
     return (
-        hits.groupBy("claim_header_id", "ccw_code")
+        hits.groupBy("claim_header_id", "_alone", "ccw_code")
         .agg(F.sum("counts").alias("n_dx"), F.max("bars").alias("_barred"))
-        .filter((F.col("_barred") == 0) & (F.col("n_dx") > 0)).drop("_barred")
+        .filter((F.col("_barred") == 0) & (F.col("n_dx") > 0)).drop("_barred", "_alone")
     )
 
 
@@ -361,7 +366,7 @@ def classify_claims(
     """Qualifying claims with flags and dates by claim type, one row per claim and
     condition; ``n_dx`` is the number of qualifying diagnoses.
 
-    Claims without a header stay, with NULLs from it.
+    Claims without a header stay, with NULLs from it; so does each diagnosis without a claim id.
     """
     rows = _with_header(qualifying_claims(claim_dx, dx_lookup, specs), claim_header, specs, "right", person)
     for i in (1, 2):

@@ -244,4 +244,4 @@ def detentions_by_type_year(intake: DataFrame, disposition_ref: DataFrame, start
 def metric_rate(metrics: DataFrame, top: str, bottom: str) -> DataFrame:
     """Metrics side by side per report date, and top / bottom."""
 
-    return spread(metrics, ["report_date"], "met_abbr", "count", [top, bottom]).withColumn("pct", ratio(top, bottom))
+    return spread(metrics, ["report_date"], "met_abbr", "count", [top, bottom], only_listed=True).withColumn("pct", ratio(top, bottom))

@@ -435,7 +435,7 @@ def _(t):
 SELECT report_date, sum(count) FILTER (WHERE met_abbr = 'ITA_INVEST')::BIGINT AS ITA_INVEST,
   sum(count) FILTER (WHERE met_abbr = 'ITA_NEW_DETAINED')::BIGINT AS ITA_NEW_DETAINED FROM metric GROUP BY report_date""")
 def _(t):
-    return rel.spread(t.metric, ["report_date"], "met_abbr", "count", ["ITA_INVEST", "ITA_NEW_DETAINED"])
+    return rel.spread(t.metric, ["report_date"], "met_abbr", "count", ["ITA_INVEST", "ITA_NEW_DETAINED"], only_listed=True)
 
 
 @query("unpivot", """

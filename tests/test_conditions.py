@@ -190,3 +190,22 @@ def test_config_gives_the_same_specs():
     assert conditions.specs_from_config(CONFIG) == [replace(s, lookback_months=24) for s in written]
     only_second = {"cond_z": {"ccw_code": 9, "ccw_abbrev": "z", "condition_type": 1, "dx_fields": 1, "dx_exclude2": "z_excl", "lookback_months": 12}}
     assert conditions.specs_from_config(only_second)[0].exclusions == [("ccw_z_excl", "any")]
+
+
+def test_diagnoses_without_a_claim_stand_alone(spark):
+    dx = spark.createDataFrame(
+        [(None, "A", 10, "01"), (None, "A", 10, "01"), (None, "X", 10, "01"), (1, "A", 10, "01"), (1, "X", 10, "01"), (2, "A", 10, "01"), (2, "A", 10, "02")],
+        "claim_header_id long, icdcm_norm string, icdcm_version int, icdcm_number string",
+    )
+    lookup = spark.createDataFrame([("A", 10, 1, 0), ("X", 10, 0, 1)], "dx string, dx_ver int, c int, x int")
+    spec = conditions.ConditionSpec(
+        code=1, desc="c", abbrev="c", condition_type=1, dx_fields="any", claim_type1=(1,), claim_type2=(), exclude1="x", exclude1_fields="any",
+        exclude2=None, exclude2_fields="any", lookback_months=12,
+    )
+    got = sorted(((r.claim_header_id, r.n_dx) for r in conditions.qualifying_claims(dx, lookup, [spec]).collect()), key=str)
+    assert got == [(2, 2), (None, 1), (None, 1)]
+
+
+def test_sections_with_cond_anywhere_in_their_name():
+    section = {"ccw_code": 1, "ccw_abbrev": "a", "condition_type": 1, "dx_fields": "any", "lookback_months": 12}
+    assert len(conditions.specs_from_config({"x_cond_a": section, "cond_b": section, "other": section})) == 2

@@ -107,6 +107,14 @@ def test_spread_refuses_two_values_for_a_cell(spark):
     assert {tuple(r) for r in rel.spread(good, ["d"], "name", "v", ["m", "n"]).collect()} == {("a", 1, None), ("b", None, 3)}
 
 
+def test_spread_loses_no_unlisted_name(spark):
+    df = spark.createDataFrame([("a", "m", 1), ("a", "n", 2), ("b", None, 3)], "d string, name string, v long")
+    for rows in (df, df.where("name is null"), df.where("name is not null")):
+        with pytest.raises(Exception, match="not listed"):
+            rel.spread(rows, ["d"], "name", "v", ["m"]).collect()
+    assert [tuple(r) for r in rel.spread(df, ["d"], "name", "v", ["m"], only_listed=True).collect()] == [("a", 1)]
+
+
 def test_range_in_the_join_keeps_unmatched_rows(spark):
     left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
     right = spark.createDataFrame([(1, date(2020, 5, 1)), (2, date(2021, 5, 1))], "k int, d date")
