@@ -170,6 +170,12 @@ def _dealt(items: DataFrame, queries: DataFrame, block: int) -> DataFrame:
     return items.unionByName(queries)
 
 
+def _top(found: DataFrame, k: int) -> DataFrame:
+    """The k best different items of each query; Spark cuts before the shuffle, too."""
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "item")
+    return found.distinct().withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 2, hashes: int = 6, step: float = 1.5, near: float = 0.4,
     target: float = 0.75, block: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -218,17 +224,15 @@ def nearest(
     items = classes.select("id", "vector").mapInArrow(index, keyed)
     filled = written(items.select("bucket").distinct(), "filled-buckets")
     visits = marked.select("id", "vector").mapInArrow(probe, keyed).join(filled, "bucket", "left_semi")
-    found = _met(_dealt(items, visits, block), dimension, k + 1)
-    found = written(found.distinct(), "found")
+    found = written(_top(_met(_dealt(items, visits, block), dimension, k + 1), k + 1), "found")
     counted = found.join(classes.select(F.col("id").alias("item"), F.size("ids").alias("n")), "item").groupBy(F.col("query").alias("id")).agg(F.sum("n").alias("n"))
     short = written(marked.join(counted.where(F.col("n") > k), "id", "left_anti"), "short-queries")
     if short.limit(1).collect():
-        spread = F.pmod(F.xxhash64("id"), F.lit(64)).alias("bucket")
-        everything = classes.select(spread, "id", "vector")
+        part = F.pmod(F.xxhash64("id"), F.lit(64)).alias("bucket")
+        everything = classes.select(part, "id", "vector")
         everywhere = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("bucket"), "id", "vector")
-        found = found.unionByName(_met(_dealt(everything, everywhere, block), dimension, k + 1)).distinct()
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "item")
-    top = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+        found = _top(found.unionByName(_met(_dealt(everything, everywhere, block), dimension, k + 1)), k + 1)
+    top = found
     top = top.join(classes.select(F.col("id").alias("item"), "ids"), "item").select("query", "score", F.explode("ids").alias("vec_id"))
     mine = marked.withColumnRenamed("id", "query").join(asked.distinct().select("vector", F.col("id").alias("query_id")), "vector")
     pairs = mine.select("query", "query_id").join(top, "query").where("query_id <> vec_id")
