@@ -1,8 +1,9 @@
-"""Sub-word encoding with the tokenizers library, remembered per unit between spaces.
+"""Sub-word encoding with the tokenizers library, remembered per unit.
 
 No token of the two vocabularies used here spans the gap between two units, so a text's
-ids are those of its units in order. Each unit that a worker has not met goes through
-the library; the rest are looked up.
+ids are those of its units in order. Texts are cut with array operations on their bytes
+and each distinct unit of a slice is looked up once; those that a worker has not met go
+through the library.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from strandline.llm.common import Recent
 
@@ -23,6 +25,58 @@ SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 KEEPS_SPACES = rf" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 DROPS_SPACES = rf"[^{SPACES}]+"
 
+_BYTES = np.arange(256)
+_ASCII_SPACE = np.isin(_BYTES, list(b"\t\n\x0b\x0c\r "))
+_LETTER = np.isin(_BYTES | 32, np.arange(ord("a"), ord("z") + 1)) & (_BYTES < 128)
+_SIGN = (_BYTES < 128) & ~_LETTER & ~_ASCII_SPACE & (_BYTES != ord("'"))
+_PLAIN = re.compile(" ?[A-Za-z]+").fullmatch
+
+
+def _space_bytes(raw: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to characters of ``SPACES``; ``raw`` ends in two spare zeros."""
+    space = _ASCII_SPACE[raw]
+    for lead in (0xC2, 0xE1, 0xE2, 0xE3):
+        at = np.flatnonzero(raw == lead)
+        b, c = raw[at + 1], raw[at + 2]
+        if lead == 0xC2:
+            at = at[(b == 0x85) | (b == 0xA0)]
+        elif lead == 0xE1:
+            at = at[(b == 0x9A) & (c == 0x80)]
+        elif lead == 0xE2:
+            at = at[(b == 0x80) & ((c <= 0x8A) | np.isin(c, [0xA8, 0xA9, 0xAF])) | (b == 0x81) & (c == 0x9F)]
+        else:
+            at = at[(b == 0x80) & (c == 0x80)]
+        for k in range(2 if lead == 0xC2 else 3):
+            space[at + k] = True
+    return space
+
+
+def unit_starts(raw: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Where units begin in concatenated UTF-8 texts (``raw`` ends in two spare zeros; none of the texts is empty).
+
+    The last space before a word belongs to it if it is a plain one and stands alone
+    otherwise; earlier spaces are a unit. ASCII letters and ASCII signs next to each other
+    are cut apart too, except at an apostrophe: no pre-token holds both.
+    """
+    space = _space_bytes(raw)
+    after = np.zeros(len(raw), bool)  # the byte before is a space of the same text
+    after[1:] = space[:-1]
+    after[text_starts] = False
+    before = np.ones(len(raw), bool)  # ... is no space, or of another text
+    before[1:] = ~space[:-1]
+    starts = space & before
+    word = np.flatnonzero(~space & after)
+    one, two = raw[word - 1] < 128, raw[word - 2] == 0xC2
+    last = word - np.where(one, 1, np.where(two, 2, 3))
+    starts[last] = True
+    starts[word[raw[last] != ord(" ")]] = True
+    letter, sign = _LETTER[raw], _SIGN[raw]
+    starts[1:] |= letter[1:] & sign[:-1] | sign[1:] & letter[:-1]
+    starts[text_starts] = True
+    starts[-2:] = False
+    return np.flatnonzero(starts)
+
+
 _LOADED: dict[tuple, Subwords] = {}
 
 
@@ -41,6 +95,10 @@ class Subwords:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.units = re.compile(unit).findall
         self.known = Recent(limit)
+        # A unit of ASCII letters is one pre-token, so its merges can be asked for directly.
+        normalizer = self.library.normalizer
+        self.lower = normalizer is not None and normalizer.normalize_str("A") == "a"
+        self.lead = self.library.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1]
 
     @classmethod
     def load(cls, path: str, unit: str) -> Subwords:
@@ -49,20 +107,46 @@ class Subwords:
             _LOADED[path, unit] = cls(path, unit)
         return _LOADED[path, unit]
 
-    def _learn(self, units: set[str]) -> None:
+    def _learn(self, units: Sequence[str]) -> None:
         new = self.known.missing(units)
-        if new:
-            for unit, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-                self.known[unit] = np.array(e.ids, "<u4").tobytes()
+        plain, rest = [], []
+        for u in new:
+            (plain if _PLAIN(u) else rest).append(u)
+        merges = self.library.model.tokenize
+        found = []
+        for u in plain:
+            word = u.lower() if self.lower else u
+            found.append([t.id for t in merges(self.lead + word[1:] if word[0] == " " else word)])
+        found += [e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False)] if rest else []
+        ids = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        at = 0
+        for u, x in zip(chain(plain, rest), found):
+            self.known[u] = ids[at : at + 4 * len(x)]
+            at += 4 * len(x)
+
+    def _forget_long(self, units: Sequence[str]) -> None:
+        for u in units:
+            if len(u) > 64:
+                self.known.pop(u, None)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        split = [self.units(t) for t in texts]
-        self._learn(set(chain.from_iterable(split)))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, units)) for units in split]
-        for unit in {u for units in split for u in units if len(u) > 64}:
-            del self.known[unit]
-        return out
+        column = pa.array(texts, pa.string())
+        sizes = np.frombuffer(column.buffers()[1], np.int32)[: len(texts) + 1]
+        total = int(sizes[-1]) if len(texts) else 0
+        if not total:
+            return [b""] * len(texts)
+        data = column.buffers()[2]
+        raw = np.zeros(total + 2, np.uint8)
+        raw[:total] = np.frombuffer(data, np.uint8)[:total]
+        cuts = np.append(unit_starts(raw, np.unique(sizes[:-1][np.diff(sizes) > 0])), total).astype(np.int32)
+        units = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), data).dictionary_encode()
+        distinct = units.dictionary.to_pylist()
+        self._learn(distinct)
+        ids = pa.array([self.known[u] for u in distinct], pa.large_binary()).take(units.indices)
+        self._forget_long(distinct)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1][np.searchsorted(cuts, sizes)].tolist()
+        whole = memoryview(ids.buffers()[2])
+        return [bytes(whole[a:b]) for a, b in zip(ends, ends[1:])]
 
     def encode_units(self, units: Sequence[str]) -> list[bytes]:
         """The ids of each of some units."""
@@ -72,8 +156,11 @@ class Subwords:
     def counts(self, texts: Sequence[str]) -> list[list[tuple[int, int]]]:
         """(characters, tokens) of every unit of each text."""
         split = [self.units(t) for t in texts]
-        self._learn(set(chain.from_iterable(split)))
-        return [[(len(u), len(self.known[u]) // 4) for u in units] for units in split]
+        distinct = set(chain.from_iterable(split))
+        self._learn(distinct)
+        pairs = {u: (len(u), len(self.known[u]) // 4) for u in distinct}
+        self._forget_long(distinct)
+        return [[pairs[u] for u in units] for units in split]
 
 
 def default_path(name: str) -> str:
