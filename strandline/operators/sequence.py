@@ -3,10 +3,10 @@
 A plain window sends every row of a person to one task. That is right for almost
 everyone and wrong for the one key (often the NULL person) that holds a large part
 of the table. Persons above ``hot_rows`` rows therefore take a second route: their
-rows are counted per hour, per stamp and per block of consecutive tie-break ids, and
-each level is summed up front to back, so that no window frame ever holds more than
-the hours of the calendar, the stamps of an hour, the blocks of a stamp or the ids
-of a block. Both routes give the same columns, and all rows are kept.
+rows are counted per hour, per stamp and per block of each tie-break column in turn,
+and each level is summed up front to back, so that window frames hold the hours of
+the calendar, the stamps of an hour, the blocks of a stamp or the ids of a block.
+Both routes give the same columns for any rows, and all rows are kept.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ from strandline.functions.dates import day_diff
 # most (table rows / HOT_ROWS) entries: 500,000 for 10^12 rows, a few megabytes.
 HOT_ROWS = 2_000_000
 TIE_BLOCK = 1_000_000
+TIE_PREFIX = 6  # text ids with equal first characters form a block
+# The list of large persons is broadcast only where this bounds it by rows / 100,000.
+BROADCAST_FROM = 100_000
 
 
 def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -34,13 +37,14 @@ def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary keys, rows of keys with more than ``hot_rows`` rows).
 
-    Counts are combined before the shuffle; the list broadcast is bounded by
-    rows / hot_rows. Rows are marked by an outer join and not filtered by a semi and an
+    Counts are combined before the shuffle; the list is bounded by rows / hot_rows and
+    broadcast by a hint only from ``BROADCAST_FROM`` on. Rows are marked by an outer join and not filtered by a semi and an
     anti join: those would sink below the caller's own steps, and each route would run
     the steps again instead of reading their shuffle output.
     """
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
-    marked = _attach(df, F.broadcast(hot.select(*keys, F.lit(True).alias("_large"))), keys, "left")
+    large = hot.select(*keys, F.lit(True).alias("_large"))
+    marked = _attach(df, F.broadcast(large) if hot_rows >= BROADCAST_FROM else large, keys, "left")
     return marked.filter("_large IS NULL").drop("_large"), marked.filter("_large").drop("_large")
 
 
@@ -63,45 +67,65 @@ def _ordinary(df, person, stamp, tie, counted):
     ).selectExpr("*", f"{_over(f'count(`{counted}`)', person, [stamp])} AS ordinal")
 
 
+def _block(df: DataFrame, column: str) -> str:
+    """Text of an expression that rises with a tie-break column and takes far fewer values."""
+    kind = df.schema[column].dataType.typeName()
+    if kind in ("byte", "short", "integer", "long"):
+        return f"floor(`{column}` / {TIE_BLOCK})"
+    if kind == "string":
+        return f"substr(`{column}`, 1, {TIE_PREFIX})"
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return f"year(`{column}`) * 12 + month(`{column}`)"
+    return "0"
+
+
 def _hot(df, person, stamp, tie, counted):
     cols = [f"`{c}`" for c in df.columns]
     # Whole hours since 1970, from date parts: no detour through the session time zone.
     df = df.selectExpr(
         "*", f"datediff(`{stamp}`, DATE '1970-01-01') * 24 + hour(`{stamp}`) AS _hour",
-        f"floor(`{tie[0]}` / {TIE_BLOCK}) AS _block",
-    )
-    hour, at, block = [*person, "_hour"], [*person, "_hour", stamp], [*person, "_hour", stamp, "_block"]
-
-    ids = f"struct({', '.join(f'`{c}`' for c in tie)})"
-    blocks = df.groupBy(*block).agg(
-        F.expr("count(1) AS _n"), F.expr(f"count(`{counted}`) AS _c"), F.expr(f"min({ids}) AS _first")
+        *[f"{_block(df, c)} AS _block_{i}" for i, c in enumerate(tie)],
     )
-    stamps = blocks.groupBy(*at).agg(F.expr("sum(_n) AS _n"), F.expr("sum(_c) AS _c"), F.expr("min(_first) AS _first"))
-    hours = stamps.groupBy(*hour).agg(F.expr("sum(_n) AS _n"), F.expr("sum(_c) AS _c"), F.expr(f"max(`{stamp}`) AS _last"))
-
-    hours = hours.selectExpr(
-        *hour,
-        f"{_before('_n', person, '_hour')} AS _n_hour",
+    # hour, stamp, block of the first tie column, its value, block of the second, ...
+    steps = ["_hour", stamp]
+    for i, c in enumerate(tie):
+        steps += [f"_block_{i}", c]
+    steps.pop()  # values of the last tie column are numbered inside their block
+    keys = [[*person, *steps[: i + 1]] for i in range(len(steps))]
+
+    tables = [df.groupBy(*keys[-1]).agg(F.expr("count(1) AS _n"), F.expr(f"count(`{counted}`) AS _c"))]
+    for above in keys[-2::-1]:
+        tables.insert(0, tables[0].groupBy(*above).agg(F.expr("sum(_n) AS _n"), F.expr("sum(_c) AS _c")))
+
+    last = tables[1].groupBy(*keys[0]).agg(F.expr(f"max(`{stamp}`) AS _last"))
+    places = _attach(tables[0], last, keys[0]).selectExpr(
+        *[f"`{k}`" for k in keys[0]],
+        f"{_before('_n', person, '_hour')} AS _front",
         f"{_before('_c', person, '_hour')} AS _c_hour",
         f"{_over('lag(_last)', person, ['_hour'])} AS _prev_hour",
     )
-    stamps = stamps.selectExpr(
-        *at,
-        "_first",
-        f"{_before('_n', hour, stamp)} AS _n_stamp",
-        f"{_before('_c', hour, stamp)} + _c AS _c_stamp",
-        f"{_over(f'lag(`{stamp}`)', hour, [stamp])} AS _prev_in_hour",
+    stamps = tables[1].selectExpr(
+        *[f"`{k}`" for k in keys[1]],
+        f"{_before('_n', keys[0], stamp)} AS _more",
+        f"{_before('_c', keys[0], stamp)} + _c AS _c_stamp",
+        f"{_over(f'lag(`{stamp}`)', keys[0], [stamp])} AS _prev_in_hour",
+    )
+    places = _attach(stamps, places, keys[0]).selectExpr(
+        *[f"`{k}`" for k in keys[1]], "_front + _more AS _front", "CAST(0 AS BIGINT) AS _inside",
+        "_c_hour + _c_stamp AS _ordinal", "coalesce(_prev_in_hour, _prev_hour) AS _prev",
     )
-    blocks = blocks.selectExpr(*block, f"{_before('_n', at, '_block')} AS _n_block")
+    for i in range(2, len(steps)):
+        level = tables[i].selectExpr(*[f"`{k}`" for k in keys[i]], f"{_before('_n', keys[i - 1], steps[i])} AS _more")
+        places = _attach(level, places, keys[i - 1]).selectExpr(
+            *[f"`{k}`" for k in keys[i]], "_front", "_inside + _more AS _inside", "_ordinal", "_prev"
+        )
 
-    offsets = _attach(_attach(blocks, stamps, at), hours, hour)
-    # The row number inside a block is dropped from the plan where no one asks for `position`.
-    df = _attach(df.selectExpr("*", f"{_over('row_number()', block, tie)} AS _local"), offsets, block)
+    df = _attach(df.selectExpr("*", f"{_over('row_number()', keys[-1], [tie[-1]])} AS _local"), places, keys[-1])
     return df.selectExpr(
         *cols,
-        "_n_hour + _n_stamp + _n_block + _local AS position",
-        f"CASE WHEN {ids} <=> _first THEN coalesce(_prev_in_hour, _prev_hour) ELSE `{stamp}` END AS prev_stamp",
-        "_c_hour + _c_stamp AS ordinal",
+        "CAST(_front + _inside + _local AS BIGINT) AS position",
+        f"CASE WHEN _inside + _local = 1 THEN _prev ELSE `{stamp}` END AS prev_stamp",
+        "CAST(_ordinal AS BIGINT) AS ordinal",
     )
 
 
@@ -120,8 +144,8 @@ def number_events(
       events sharing a stamp share the last number;
     * ``prev_stamp``: stamp of the row before, NULL on the first.
 
-    The first ``tie`` column must be an integer id, unique within (person, stamp)
-    together with the others. ``hot_rows=None`` skips the size check.
+    ``tie`` columns may be of any type that can be ordered, may be NULL (first) and may
+    repeat; which of two equal rows comes first is open. ``hot_rows=None`` skips the size check.
     """
     person = [person] if isinstance(person, str) else list(person)
     tie = [tie] if isinstance(tie, str) else list(tie)

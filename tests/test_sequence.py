@@ -90,3 +90,26 @@ def test_both_routes_on_dates(spark, monkeypatch):
         {tuple(r) for r in seq.number_events(df, "p1_id", "post_stamp", "kcid", hot_rows=n).collect()} for n in (None, 10)
     )
     assert plain == split and len(plain) == 60
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "date", "double"])
+@pytest.mark.parametrize("hot_rows", [2_000_000, 40, 0])
+def test_both_routes_agree_for_repeats_and_any_tie(spark, monkeypatch, kind, hot_rows):
+    monkeypatch.setattr(seq, "TIE_BLOCK", 3)
+    monkeypatch.setattr(seq, "TIE_PREFIX", 2)
+    rng, base = random.Random(11), datetime(2020, 3, 7, 23, 0)
+    value = {
+        "bigint": lambda i: i, "string": lambda i: f"k{i:02d}", "date": lambda i: (base + timedelta(days=9 * i)).date(), "double": float,
+    }[kind]
+    rows = [
+        (rng.choice([None, 1, 2]), base + timedelta(minutes=rng.choice([0, 0, 0, 30, 90, 3000])), rng.choice([None, *map(value, range(12))]), rng.randrange(40))
+        for _ in range(300)
+    ]
+    rows += rows[:60]  # whole rows that repeat
+    df = spark.createDataFrame(rows, f"kcid bigint, call_stamp timestamp_ntz, tie {kind}, petition_no bigint")
+    for tie in ("tie", ["tie", "petition_no"]):
+        plain, split = (
+            sorted(map(repr, seq.number_events(df, "kcid", "call_stamp", tie, "petition_no", hot_rows=n).select("kcid", "call_stamp", *([tie] if tie == "tie" else tie), "position", "ordinal", "prev_stamp").collect()))
+            for n in (None, hot_rows)
+        )
+        assert plain == split and len(plain) == 360
