@@ -262,9 +262,9 @@ def _(t):
 
 @query("left_two_key_join", """
 SELECT i.intake_no, i.kcid, strftime(i.call_stamp, '%Y-%m') AS call_month, m.mco FROM intake i
-LEFT JOIN (SELECT * FROM monthly_coverage WHERE mco <> 'MHW') m ON i.kcid = m.kcid AND strftime(i.call_stamp, '%Y-%m') = m.census_month""")
+LEFT JOIN monthly_coverage m ON i.kcid = m.kcid AND strftime(i.call_stamp, '%Y-%m') = m.census_month""")
 def _(t):
-    cover = t.monthly_coverage.filter("mco <> 'MHW'").withColumnRenamed("census_month", "call_month")
+    cover = t.monthly_coverage.withColumnRenamed("census_month", "call_month")
     return t.intake.withColumn("call_month", dates.month_key_text("call_stamp")).join(
         cover, ["kcid", "call_month"], "left"
     ).select("intake_no", "kcid", "call_month", "mco")
@@ -313,7 +313,8 @@ def _(t):
 @query("right_join", """
 SELECT p.petition_no, i.intake_no, i.kcid FROM intake i LEFT JOIN petition p ON p.intake_no = i.intake_no""")
 def _(t):
-    return t.petition.join(t.intake, "intake_no", "right").select("petition_no", "intake_no", "kcid")
+    petitions = t.petition.select("intake_no", "petition_no")
+    return rel.left_join_many(t.intake.select("intake_no", "kcid"), petitions, "intake_no").select("petition_no", "intake_no", "kcid")
 
 
 @query("constant_key_cross_join", """
@@ -438,18 +439,19 @@ def _(t):
     return rel.spread(t.metric, ["report_date"], "met_abbr", "count", ["ITA_INVEST", "ITA_NEW_DETAINED"], only_listed=True)
 
 
-@query("unpivot", """
-SELECT kcid, 'AIAN' AS race, AIAN AS cnt FROM demographics UNION ALL SELECT kcid, 'Asian', Asian FROM demographics
-UNION ALL SELECT kcid, 'White', White FROM demographics""")
+RACES = ["AIAN", "Asian", "BlackAA", "MENA", "NHPI", "Other", "Unknown_Race", "White"]
+
+
+@query("unpivot", " UNION ALL ".join(f"SELECT kcid, '{r}' AS race, {r} AS cnt FROM demographics" for r in RACES))
 def _(t):
-    return t.demographics.unpivot(["kcid"], ["AIAN", "Asian", "White"], "race", "cnt")
+    return t.demographics.unpivot(["kcid"], RACES, "race", "cnt")
 
 
-@query("arg_max_per_group", """
-SELECT kcid, CASE greatest(AIAN, Asian, White, Other) WHEN AIAN THEN 'AIAN' WHEN Asian THEN 'Asian' WHEN White THEN 'White' ELSE 'Other' END AS race,
-  greatest(AIAN, Asian, White, Other) AS cnt FROM demographics""")
+@query("arg_max_per_group", f"""
+SELECT kcid, CASE greatest({", ".join(RACES)}) {" ".join(f"WHEN {r} THEN '{r}'" for r in RACES)} END AS race,
+  greatest({", ".join(RACES)}) AS cnt FROM demographics""")
 def _(t):
-    return rel.arg_max(t.demographics, "kcid", ["AIAN", "Asian", "White", "Other"], "race", "cnt")
+    return rel.arg_max(t.demographics, "kcid", RACES, "race", "cnt")
 
 
 @query("max_flag_per_claim", """
