@@ -200,3 +200,16 @@ def test_op5_counts(llm, odd, odd_texts, none, small):
     counted = token_counts.recount(token_counts.count_trees(odd, vocabulary), vocabulary, token_counts.redactions)
     assert sorted((r.n_tokens, r.n_tokens_after) for r in counted.collect()) == sorted(want(t or "") for _, t, _ in odd_texts)
     assert token_counts.count_trees(none, vocabulary).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_units_give_the_ids_of_whole_texts(name):
+    """Odd spaces, apostrophes, signs, combining marks and the strings of special tokens, in texts of every length."""
+    rng = random.Random(5)
+    signs = "ab'Z\xe9́Σ 1.,\n\t\x85\xa0    　中\U0001f600K\x1c\x00"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += ["", "<|endoftext|>", "don't it'll x's 'S ''s 3rd (a)b.", "w" * 500 + " " + "w" * 500]
+    words = Subwords(default_path(name), KEEPS_SPACES)
+    got = [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)]
+    assert got == [e.ids for e in words.library.encode_batch(texts, add_special_tokens=False)]
+    assert words.encode([]) == [] and words.encode(["", ""]) == [b"", b""]
