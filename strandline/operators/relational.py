@@ -65,15 +65,22 @@ def left_join_many(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(other, key).unionByName(not_in_keys(df, key, other, key), allowMissingColumns=True)
 
 
+#: A list of windows by month below this length is broadcast.
+LISTED_MONTHS = 100_000
+
+
 def window_pairs(df: DataFrame, windows: DataFrame, on: str) -> DataFrame:
     """Every (row, calendar window) pair whose window contains the date ``on``.
 
     Works for any calendar. Windows are listed once per month they touch, so the
-    join is on the month number instead of a comparison with every window.
+    join is on the month number instead of a comparison with every window. The list is
+    counted, up to a bound; it is sent to all tasks if it is shorter than ``LISTED_MONTHS``.
     """
     by_month = windows.select(
         "*", F.explode(F.sequence(month_index("start_window"), month_index("end_window"))).alias("_month")
     )
+    if by_month.limit(LISTED_MONTHS).count() < LISTED_MONTHS:
+        by_month = F.broadcast(by_month)
     return (
         df.withColumn("_month", month_index(on)).join(by_month, "_month")
         .filter(F.col(on).between(F.col("start_window"), F.col("end_window")))

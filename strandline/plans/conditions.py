@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.dates import add_months, as_date, month_diff, month_index, spans_days
 from strandline.functions.labels import flag, in_closed_range, relabel
-from strandline.operators.relational import not_in_keys
+from strandline.operators.relational import not_in_keys, window_pairs
 from strandline.operators.sequence import collapse_chains
 from strandline.sources.sinks import append_with_stamp, declare_result
 
@@ -157,9 +157,14 @@ def condition_counts(person_table: DataFrame) -> DataFrame:
 # ---- periods opened by each event -------------------------------------------------
 
 def overlap_flag(events: DataFrame, months: int = 24) -> DataFrame:
-    """Events with the window they open and 1 where the window before is still open."""
+    """Events with the window they open and 1 where the window before is still open.
+
+    An event given more than once counts once.
+    """
     w = Window.partitionBy(*KEYS).orderBy("svc_date")
-    rows = events.select(*KEYS, "svc_date", add_months("svc_date", months).alias("end_window"))
+    again = (F.row_number().over(w) > 1) & F.lag("svc_date").over(w).eqNullSafe(F.col("svc_date"))
+    rows = events.select(*KEYS, "svc_date", add_months("svc_date", months).alias("end_window"), again.alias("_again"))
+    rows = rows.filter(~F.col("_again")).drop("_again")
     still_open = F.lag("end_window").over(w).between(F.col("svc_date"), F.col("end_window"))
     return rows.withColumn("cont", flag(still_open))
 
@@ -197,6 +202,43 @@ def window_matrix(events: DataFrame, calendar: Calendar) -> DataFrame:
     return calendar.explode(calendar.lowest(month), calendar.highest(month), [*KEYS, "svc_date"], rows)
 
 
+def windows_with_events(events: DataFrame, windows: Calendar | DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Distinct windows with an event per key, for a regular calendar or any table of windows.
+
+    Events are distinct per month (in any other table per day) before they meet in windows.
+    """
+    if isinstance(windows, Calendar):
+        month = windows.month("svc_date")
+        rows = events.filter(windows.covers("svc_date")).select(*keys, month.alias("_m")).distinct()
+        # Hashed on the keys alone, the rows of a key stay together when opened and made distinct.
+        rows = rows.repartition(*[F.col(k) for k in keys])
+        found = windows.explode(windows.lowest(F.col("_m")), windows.highest(F.col("_m")), keys, rows)
+    else:
+        days = events.select(*keys, "svc_date").distinct()
+        found = window_pairs(days, windows.select("start_window", "end_window"), "svc_date").drop("svc_date")
+    return found.distinct()
+
+
+def flag_discontinuity(windows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Windows with their row number where a month or more lies between them and the window before."""
+    w = Window.partitionBy(*keys).orderBy("start_window", "end_window")
+    number, before = F.row_number().over(w), F.lag("end_window").over(w)
+    goes_on = (month_diff(before, "start_window") <= 1) | (F.col("start_window") < before) | (number == 1)
+    return windows.withColumn("discont", F.when(~goes_on, number))
+
+
+def window_groups(flagged: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Flagged windows with the running number of their group."""
+    w = Window.partitionBy(*keys).orderBy("start_window", "end_window").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return flagged.withColumn("grp", F.sum(flag(F.col("discont").isNotNull())).over(w))
+
+
+def window_periods(windows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Periods of windows that follow each other, for windows of any calendar."""
+    groups = window_groups(flag_discontinuity(windows, keys), keys).groupBy(*keys, "grp")
+    return groups.agg(F.min("start_window").alias("from_date"), F.max("end_window").alias("to_date")).drop("grp")
+
+
 def _merge_ranges(ranges: DataFrame, keys: Sequence[str], calendar: Calendar) -> DataFrame:
     """Merge window-number ranges [low, high] of a key whose windows touch, overlap or
     follow each other, into dated periods."""
@@ -404,6 +446,8 @@ def window_claim_threshold(
         F.min("condition_2_from_date").alias("d_min"),
         F.max("condition_2_from_date").alias("d_max"),
     )
+    # Hashed on person and condition before a month is opened to its windows: nothing moves after that.
+    monthly = monthly.repartition(*[F.col(k) for k in keys])
     m = F.col("m")
     k = F.explode(F.sequence(calendar.lowest(m), calendar.highest(m))).alias("k")
     per_window = (
@@ -491,7 +535,10 @@ def multi_condition_run(
 
 
 def load_condition_table(periods: DataFrame, path: str, person: str = "id_mcaid") -> DataFrame:
-    """Rebuild the condition table from the periods of all conditions, with load time."""
-    schema = f"{person} string, from_date date, to_date date, ccw_code int, ccw_desc string, last_run timestamp"
+    """Rebuild the condition table from the periods of all conditions, with load time.
+
+    The id keeps the type it has in the claims.
+    """
+    schema = f"{person} {periods.schema[person].dataType.simpleString()}, from_date date, to_date date, ccw_code int, ccw_desc string, last_run timestamp"
     declare_result(periods.sparkSession, path, schema)
     return append_with_stamp(periods, path)

@@ -523,13 +523,8 @@ def _(t):
 
 
 def _flagged_windows(t):
-    """Distinct windows per person and condition with the row number of each new start."""
-    from suite.composites import condition_windows
-
-    w = Window.partitionBy("id_mcaid", "bh_cond").orderBy("start_window")
-    number, before = F.row_number().over(w), F.lag("end_window").over(w)
-    goes_on = (dates.month_diff(before, "start_window") <= 1) | (F.col("start_window") < before) | (number == 1)
-    return condition_windows(t).withColumn("discont", F.when(~goes_on, number)), w
+    events = conditions.condition_events(t.claim_dx, t.claim_pharm, t.value_set)
+    return conditions.flag_discontinuity(conditions.windows_with_events(events, conditions.Calendar.of(t.windows)))
 
 
 DISCONT_SQL = """
@@ -540,15 +535,13 @@ FROM (SELECT *, row_number() OVER w AS n, lag(end_window) OVER w AS e FROM (SELE
 
 @query("discontinuity_flag", f"SELECT id_mcaid, bh_cond, start_window, CAST(discont AS INT) AS discont FROM ({DISCONT_SQL})")
 def _(t):
-    return _flagged_windows(t)[0].select("id_mcaid", "bh_cond", "start_window", "discont")
+    return _flagged_windows(t).select("id_mcaid", "bh_cond", "start_window", "discont")
 
 
 @query("running_group_id", f"""
 SELECT id_mcaid, bh_cond, start_window, count(discont) OVER (PARTITION BY id_mcaid, bh_cond ORDER BY start_window ROWS UNBOUNDED PRECEDING) AS grp FROM ({DISCONT_SQL})""")
 def _(t):
-    rows, w = _flagged_windows(t)
-    frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select("id_mcaid", "bh_cond", "start_window", F.sum(labels.flag(F.col("discont").isNotNull())).over(frame).alias("grp"))
+    return conditions.window_groups(_flagged_windows(t)).select("id_mcaid", "bh_cond", "start_window", "grp")
 
 
 # ---- sorts, limits, set operations ------------------------------------------------
