@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -147,11 +148,26 @@ def score(marked: DataFrame, model: Discriminant) -> DataFrame:
     return marked.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
 
 
-def passing(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, as they are, that score ``threshold`` or more."""
+def passing(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", learn_from: DataFrame | None = None,
+) -> DataFrame:
+    """The rows of ``docs``, as they are, that score ``threshold`` or more.
+
+    Learns from the labelled, not held-out rows of ``learn_from`` (by default of ``docs``),
+    which should be a table that no filter has gone over: a filter that rejects what is
+    labelled bad leaves nothing to tell bad from good. With a class missing there, nothing
+    can be told either: every row stays, with a warning.
+    """
     marked = written(_with_statistics(docs, text_col), "quality-rows")
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where(~held_out())
-    model = fit(marked.select(F.col(f"row.{id_col}").cast("long").alias("doc_id"), "x").join(taught, "doc_id"))
+    if learn_from is None:
+        known = marked.select(F.col(f"row.{id_col}").cast("long").alias("doc_id"), "x")
+    else:
+        known = features(learn_from, id_col, text_col)
+    model = fit(known.join(taught, "doc_id"))
+    if not model.means:
+        warnings.warn("labels of a class are missing: the quality classifier keeps every row", stacklevel=2)
+        return rows_again(marked, docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

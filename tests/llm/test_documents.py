@@ -61,6 +61,23 @@ def test_classifier_on_odd_texts(llm, odd, odd_texts, none, small):
     assert quality.passing(odd, labels).columns == odd.columns
 
 
+def test_classifier_stage_learns_from_unfiltered_rows(llm, tmp_path):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = llm.read.parquet(f"{folder}/documents.parquet"), llm.read.parquet(f"{folder}/labels.parquet")
+    bad = docs.join(labels.where("quality = 0").where(quality.held_out()).select("doc_id"), "doc_id", "left_semi")
+    passed = rules.passing(docs)
+    ids = {r.doc_id for r in passed.select("doc_id").collect()}
+    # Bad documents as if the rules let them pass: held out, and the same without any label.
+    given = passed.unionByName(bad).unionByName(bad.withColumn("doc_id", bad.doc_id + 10_000_000))
+    n_bad = bad.count()
+    kept = {r.doc_id for r in corpus_pipeline.quality_classifier(llm, given, folder).collect()}
+    assert n_bad >= 5 and len(kept - ids) <= 0.1 * 2 * n_bad
+    assert len(kept & ids) > 0.9 * len(ids)
+    for left in (labels.where("quality = 1"), labels.where("quality = 0"), labels.limit(0)):
+        with pytest.warns(UserWarning, match="class are missing"):
+            assert quality.passing(bad, left, learn_from=docs).count() == n_bad
+
+
 def test_xxh64_of_many_ranges():
     data = bytes(np.random.default_rng(1).integers(0, 256, 3000, dtype=np.uint8))
     starts = np.arange(0, 900, 3)
