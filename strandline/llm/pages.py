@@ -220,9 +220,10 @@ def content(wrapper: list) -> dict:
         for child in node[5]:
             here = [*path, child[0]]
             tag = child[0].split(".")[0].split("#")[0]
-            if tag in ROOTS and tag == child[0][: len(tag)]:
-                found.append((sum(map(_mass, child[5])) + child[4], here, child))
-            look(child, here, hidden or child[1])
+            never = hidden or child[1] and tag not in ("html", "body")
+            if tag in ROOTS and not never:
+                found.append((_mass(child), here, child))
+            look(child, here, never)
 
     look(wrapper, [], False)
     if found:
@@ -256,14 +257,17 @@ def article(page: str, rule: dict) -> str:
     tree = parse(page)
     path, template = rule["path"], set(rule["template"])
 
+    def open_(node: Node) -> bool:
+        return not node.never or node.tag in ("html", "body")
+
     def descend(nodes: list[Node], depth: int) -> list[Node]:
         if depth == len(path):
             return nodes
-        return descend([c for n in nodes for c in n.children if c.label == path[depth]], depth + 1)
+        return descend([c for n in nodes for c in n.children if c.label == path[depth] and open_(c)], depth + 1)
 
     def named(node: Node) -> list[Node]:
         out = []
-        for c in node.children:
+        for c in filter(open_, node.children):
             out += [c] if c.tag in ROOTS else named(c)
         return out
 

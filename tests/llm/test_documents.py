@@ -256,6 +256,18 @@ def test_pages(llm, none):
     assert pages.extract(df).count() == len(rows) and pages.extract(df.limit(0)).count() == 0
 
 
+def test_pages_with_comments_as_articles(llm):
+    """Comments in article elements, longer than every article, on one page and on one of another shape."""
+    say = "<div id=comments><article class=comment-body><p>" + "I never read such a thing. " * 60 + "</p></article><article><p>Nor did I.</p></article></div>"
+    text = [f"Text {i} of the story, number {i * 7}, with some words more." for i in range(12)]
+    rows = [(i, "http://h.example/", f"<body><article class=post><p>{t}</p></article>{say if i in (3, 4) else ''}</body>") for i, t in enumerate(text)]
+    rows += [(20, "http://h.example/", f"<body><main><p>Another shape.</p></main>{say}</body>")]
+    rows += [(30 + i, "http://k.example/", f"<body><article class=comment><p>{'Long remark. ' * 90}</p></article><div><p>{t}</p></div></body>") for i, t in enumerate(text)]
+    rows += [(50 + i, "http://m.example/", f"<body class='no-sidebar'><article><p>{t}</p></article>{say}</body>") for i, t in enumerate(text)]
+    got = {r.page_id: r.text for r in pages.extract(llm.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**dict(enumerate(text)), 20: "Another shape.", **{30 + i: t for i, t in enumerate(text)}, **{50 + i: t for i, t in enumerate(text)}}
+
+
 def test_simple_tree_matching():
     tree = lambda label, *children: [label, False, 1, 1, 1, list(children), 1]
     a = tree("r", tree("x"), tree("y", tree("p")), tree("z"))
