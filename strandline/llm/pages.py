@@ -143,8 +143,9 @@ def _flat(text: str) -> str:
     return " ".join(html.unescape(text).split() if "&" in text else text.split())
 
 
-# A wrapper node: [label, never, low hash, high hash, longest text, children, pages]. Low and high differ where the text varies.
-#: A node is template only if it is the same on this many pages at least.
+# A wrapper node: [label, never, low hash, high hash, longest text, children, pages, contents]. Low and high differ where the
+# text varies; contents are the least hashes of different pages' texts, up to TEMPLATE_PAGES.
+#: A node is template only if it is the same on this many pages of different content at least.
 TEMPLATE_PAGES = 8
 
 
@@ -199,7 +200,8 @@ def merge(a: list, b: list, memo: dict | None = None) -> list:
         else:
             j -= 1
             out.append(ys[j])
-    return [a[0], a[1] and b[1], min(a[2], b[2]), max(a[3], b[3]), max(a[4], b[4]), out[::-1], a[6] + b[6]]
+    contents = [sorted({*x, *y})[:TEMPLATE_PAGES] for x, y in zip(a[7:], b[7:])]
+    return [a[0], a[1] and b[1], min(a[2], b[2]), max(a[3], b[3]), max(a[4], b[4]), out[::-1], a[6] + b[6], *contents]
 
 
 def _mass(node: list) -> int:
@@ -242,7 +244,9 @@ def content(wrapper: list) -> dict:
     def template(n: list, at: list[str]) -> None:
         for child in n[5]:
             here = [*at, child[0]]
-            same = child[2] == child[3] and child[2] and not child[5] and child[6] >= TEMPLATE_PAGES
+            # On every page that has the slot: what only some have, such as copies of one article, is theirs.
+            everywhere = child[6] == node[6] and len(child[7]) >= TEMPLATE_PAGES
+            same = child[2] == child[3] and child[2] and not child[5] and everywhere
             if same and 10 * child[4] < whole and sum(c[0] == child[0] for c in n[5]) == 1:
                 constant.append("/".join(here))
             template(child, here)
@@ -309,9 +313,14 @@ def _hashes(node: list) -> list[tuple]:
     return [(*node[2:5], node[6]), *(h for c in node[5] for h in _hashes(c))]
 
 
-def _joined(shape: list, values: Iterator) -> list:
+def _content(node: list) -> list[int]:
+    """Hashes of the texts that may be an article's, in order."""
+    return [] if node[1] and node[0].split(".")[0].split("#")[0] not in ("html", "body") else [node[2], *(h for c in node[5] for h in _content(c))]
+
+
+def _joined(shape: list, values: Iterator, contents: list[int]) -> list:
     low, high, size, n = next(values)
-    return [shape[0], bool(shape[1]), low, high, size, [_joined(c, values) for c in shape[2]], n]
+    return [shape[0], bool(shape[1]), low, high, size, [_joined(c, values, contents) for c in shape[2]], n, contents]
 
 
 def wrappers(pages: DataFrame, together: int = 64) -> DataFrame:
@@ -323,12 +332,14 @@ def wrappers(pages: DataFrame, together: int = 64) -> DataFrame:
     """
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], list] = {}
+        texts: dict[tuple[str, str], list[int]] = {}
 
         def flush() -> pa.RecordBatch:
-            rows = [(h, s, i, *v) for (h, s), values in seen.items() for i, v in enumerate(values)]
+            rows = [(*key, i, *v, texts[key] if i == 0 else []) for key, values in seen.items() for i, v in enumerate(values)]
             seen.clear()
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["host", "shape", "place", "low", "high", "size", "n"])
+            texts.clear()
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["host", "shape", "place", "low", "high", "size", "n", "contents"])
 
         for batch in batches:
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
@@ -336,18 +347,21 @@ def wrappers(pages: DataFrame, together: int = 64) -> DataFrame:
                 key, values = (host(url), json.dumps(_shape(tree))), _hashes(tree)
                 old = seen.get(key)
                 seen[key] = values if old is None else [(min(a[0], b[0]), max(a[1], b[1]), max(a[2], b[2]), a[3] + b[3]) for a, b in zip(old, values)]
+                own = int.from_bytes(blake2b(repr(_content(tree)).encode(), digest_size=7).digest(), "little")
+                texts[key] = sorted({*texts.get(key, ()), own})[:TEMPLATE_PAGES]
                 if len(seen) >= 5000:
                     yield flush()
         if seen:
             yield flush()
 
-    places = pages.mapInArrow(shapes, "host string, shape string, place int, low long, high long, size long, n long")
-    places = places.groupBy("host", "shape", "place").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("size").alias("size"), F.sum("n").alias("n"))
-    trees = places.groupBy("host", "shape").agg(F.sort_array(F.collect_list(F.struct("place", "low", "high", "size", "n"))).alias("places"))
+    places = pages.mapInArrow(shapes, "host string, shape string, place int, low long, high long, size long, n long, contents array<long>")
+    contents = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("contents")))), 1, TEMPLATE_PAGES).alias("contents")
+    places = places.groupBy("host", "shape", "place").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("size").alias("size"), F.sum("n").alias("n"), contents)
+    trees = places.groupBy("host", "shape").agg(F.sort_array(F.collect_list(F.struct("place", "low", "high", "size", "n", "contents"))).alias("places"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [json.dumps(_joined(json.loads(s), iter([(v["low"], v["high"], v["size"], v["n"]) for v in p]))) for s, p in zip(batch.column("shape").to_pylist(), batch.column("places").to_pylist())]
+            made = [json.dumps(_joined(json.loads(s), iter([(v["low"], v["high"], v["size"], v["n"]) for v in p]), p[0]["contents"])) for s, p in zip(batch.column("shape").to_pylist(), batch.column("places").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.string())], names=["host", "tree"])
 
     current = written(trees.mapInArrow(whole, "host string, tree string"), "page-trees")

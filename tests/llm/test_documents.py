@@ -268,6 +268,21 @@ def test_pages_with_comments_as_articles(llm):
     assert got == {**dict(enumerate(text)), 20: "Another shape.", **{30 + i: t for i, t in enumerate(text)}, **{50 + i: t for i, t in enumerate(text)}}
 
 
+def test_pages_of_copies_keep_their_blocks(llm):
+    """Blocks that only copies of one article have are text; those that every page has are template."""
+    body = "The one article that many pages copy, with quite some words in it, so that a heading is short beside it. " * 3
+    copy = f"<article><h1>One</h1><h2>Its heading</h2><div class=more><blockquote>Its quote</blockquote></div><p>{body}</p><h6>Terms apply</h6></article>"
+    text = [f"Text {i} of the site. " + f"Word{i} and more words {i * 7} follow here. " * 12 for i in range(30)]
+    rows = [(i, "http://h.example/", f"<body><nav>{i}</nav>{copy}</body>") for i in range(12)]
+    rows += [(100 + i, "http://h.example/", f"<body><article><h1>T{i}</h1><p>{t}</p><h6>Terms apply</h6></article></body>") for i, t in enumerate(text)]
+    # All but one page are copies, and the other has the same heading.
+    rows += [(200 + i, "http://k.example/", f"<body><nav>{i}</nav><article><h2>Its heading</h2><p>{text[0] if i else text[1]}</p></article></body>") for i in range(12)]
+    got = {r.page_id: r.text for r in pages.extract(llm.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(12)} == {f"One\n\nIts heading\n\nIts quote\n\n{body.strip()}"}
+    assert all(got[100 + i] == f"T{i}\n\n{t.strip()}" for i, t in enumerate(text))
+    assert all(got[200 + i] == f"Its heading\n\n{text[0 if i else 1].strip()}" for i in range(12))
+
+
 def test_simple_tree_matching():
     tree = lambda label, *children: [label, False, 1, 1, 1, list(children), 1]
     a = tree("r", tree("x"), tree("y", tree("p")), tree("z"))
