@@ -110,15 +110,22 @@ def _best(query: np.ndarray, item: np.ndarray, score: np.ndarray, k: int) -> tup
 
 
 def _score(items: np.ndarray, item_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best items of each query; the product preselects, the scores are summed alike for every pair."""
+    """The k best items of each query, ties to the smaller item; the scores are summed alike for every pair.
+
+    The product preselects: all that may reach the k-th largest, within what rounding can change.
+    """
     found = []
+    slack = 4 * items.shape[1] * np.finfo(float).eps * np.sqrt((items * items).sum(axis=1).max())
     for a in range(0, len(queries), 512):
-        q = queries[a : a + 512]
+        q, own = queries[a : a + 512], query_ids[a : a + 512]
         products = q @ items.T
-        wide = min(k + 11, len(items))
-        top = np.argpartition(-products, wide - 1, axis=1)[:, :wide] if wide < len(items) else np.tile(np.arange(len(items)), (len(q), 1))
-        scores = (items[top] * q[:, None, :]).sum(axis=2)
-        found.append(_best(np.repeat(query_ids[a : a + 512], wide), item_ids[top].ravel(), scores.ravel(), k))
+        least = np.partition(products, -min(k, len(items)), axis=1)[:, -min(k, len(items))] - slack * np.sqrt((q * q).sum(axis=1))
+        close = products >= least[:, None]
+        step = 512 if close.sum() <= 200_000 else 8  # very many ties: few queries at once
+        for lo in range(0, len(q), step):
+            row, top = np.nonzero(close[lo : lo + step])
+            scores = np.concatenate([(items[top[i : i + 20_000]] * q[lo + row[i : i + 20_000]]).sum(axis=1) for i in range(0, len(top), 20_000)])
+            found.append(_best(own[lo + row], item_ids[top], scores, k))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 

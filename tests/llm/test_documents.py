@@ -317,6 +317,16 @@ def test_neighbours_recall(llm, small):
     assert hits / 20 / len(asked) >= 0.9
 
 
+@pytest.mark.parametrize("n", [60, 3000])
+def test_neighbours_ties_of_one_hot_vectors(n):
+    """All products but one are zero: the smaller ids win, whatever the order of the items."""
+    ids = np.random.default_rng(4).permutation(n)
+    x = np.eye(60)[ids % 60] * (1 + ids // 60)[:, None]
+    q, item, score = neighbours._score(x, ids, np.eye(60)[:30], np.arange(30), 5)
+    want = [sorted((-(1.0 + i // 60) if i % 60 == own else 0.0, i) for i in range(n))[:5] for own in range(30)]
+    assert list(zip(q.tolist(), (-score).tolist(), item.tolist())) == [(own, s, i) for own in range(30) for s, i in want[own]]
+
+
 def test_neighbours_of_odd_vectors(llm):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]),
