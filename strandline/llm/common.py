@@ -40,8 +40,9 @@ def rows_again(df: DataFrame, like: DataFrame, text_col: str = "text") -> DataFr
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """Equal for rows with equal id and text."""
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(id_col).isNull(), F.coalesce(F.col(text_col), F.lit("")))
+    """128 bits, as text, equal for rows with equal id and text (null: empty); two hashes with different beginnings."""
+    row = (F.col(f"`{id_col}`").cast("long"), F.col(f"`{id_col}`").isNull(), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    return F.concat(F.hex(F.xxhash64(*row)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *row)))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import neighbours, packing, pages, pieces, quality, rules, simhash, suffixes, token_blocks, token_counts
+from strandline.llm import manifest, minhash, neighbours, packing, pages, pieces, quality, rules, simhash, spelling, suffixes, token_blocks, token_counts
 from strandline.llm.common import ship
 from strandline.session import tune
 
@@ -25,6 +25,7 @@ QUERIES = {
     for fn in (
         token_blocks.op1_token_blocks, neighbours.op2_neighbours, rules.op3_rules, pages.op4_pages, token_counts.op5_token_counts,
         packing.op6_packing, simhash.op7_simhash, quality.op8_quality, pieces.op9_pieces, suffixes.op10_suffix_dedup,
+        minhash.op11_minhash, spelling.op12_spelling, manifest.op13_manifest,
     )
 }
-ORACLES = {"op3_rules": rules.ORACLE}
+ORACLES = {"op3_rules": rules.ORACLE, "op11_minhash": minhash.ORACLE, "op12_spelling": spelling.ORACLE, "op13_manifest": manifest.ORACLE}

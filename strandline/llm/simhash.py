@@ -5,15 +5,11 @@ Manhattan distance of two such vectors never exceeds the Hamming distance of the
 fingerprints, so links of up to 4 bits have vectors within 4, and in one half of the
 vector within 2. Half vectors within 2 of each other share a grid point within 1 of
 both: each fingerprint is dealt to those points, and what meets is verified exactly.
-
-Copies of lower similarity are too many bits apart for that. The pipeline's stage finds
-them by bands of MinHash values and verifies the similarity of their shingles exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -75,9 +71,10 @@ def xxh64(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int =
 
 
 STEP = 1 << 17  # shingles hashed at once
+DEALT = 40_000  # fingerprints that a task deals to grid points
 
 
-def _hashed(texts: list[str], shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, int, np.ndarray, np.ndarray]]]:
+def hashed_shingles(texts: list[str], shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, int, np.ndarray, np.ndarray]]]:
     """The texts with words, the counts of their shingles, and the shingles' hashes in steps.
 
     A step is (first and last text + 1 among those with words, hashes, where each text starts in them).
@@ -110,7 +107,7 @@ def _hashed(texts: list[str], shingle: int, seed: int) -> tuple[np.ndarray, np.n
 def simhashes(texts: list[str], shingle: int, seed: int = 42) -> np.ndarray:
     """A 64-bit fingerprint of each text: a bit is set if set in over half of the shingles' hashes."""
     out = np.zeros(len(texts), np.uint64)
-    full, shingles, steps = _hashed(texts, shingle, seed)
+    full, shingles, steps = hashed_shingles(texts, shingle, seed)
     if not len(full):
         return out
     totals = np.zeros((len(full), 64), np.int64)
@@ -131,7 +128,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
                 fp = pa.array(simhashes(texts, shingle).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), fp], names=["doc_id", "key", "fp"])
 
-    return id_and_text(docs, id_col, text_col).withColumn("key", row_key()).mapInArrow(run, "doc_id long, key long, fp long")
+    return id_and_text(docs, id_col, text_col).withColumn("key", row_key()).mapInArrow(run, "doc_id long, key string, fp long")
 
 
 def grid_points(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +220,8 @@ def near_links(distinct: DataFrame, most: int = 4, block: int = 4096) -> DataFra
                 index, points = grid_points(part)
                 yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(part[index].view(np.int64))], names=["point", "fp"])
 
-    dealt = distinct.select("fp").mapInArrow(deal, "point long, fp long")
+    # A fingerprint becomes some 50 rows: a fixed number of them a task, whatever the files of the table.
+    dealt = distinct.select("fp").repartition(distinct.count() // DEALT + 1, "fp").mapInArrow(deal, "point long, fp long")
     crowded = dealt.groupBy("point").agg(F.count("*").alias("n")).where(F.col("n") > block)
     # Written first, so that its size is known when Spark chooses how to join it.
     crowded = written(crowded.select("point", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "crowded-points")
@@ -276,181 +274,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", t
     return marked.join(member.join(names, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-# Fixed values of the stage: bands of MinHash values, and the shares of equal values in a sketch that make
-# a pair worth an exact comparison or almost surely similar.
-BANDS, ROWS, SKETCH, LIKELY, SURE = 14, 4, 128, 0.656, 0.9
-_RANDOM = np.random.default_rng(11)
-_MASKS, _ODD = _RANDOM.integers(0, 2**64, SKETCH, dtype=np.uint64), _RANDOM.integers(0, 2**64, SKETCH, dtype=np.uint64) | np.uint64(1)
-
-
-def minhashes(texts: list[str], shingle: int, seed: int = 42) -> np.ndarray:
-    """``SKETCH`` values of each text, each the least of its shingles under a hash of its own; equal in the share of common shingles."""
-    out = np.full((len(texts), SKETCH), np.uint64(2**64 - 1))
-    full, _, steps = _hashed(texts, shingle, seed)
-    least = np.full((len(full), SKETCH), np.uint64(2**64 - 1))
-    for lo, hi, h, cuts in steps:
-        for k in range(SKETCH):
-            found = np.minimum.reduceat((h ^ _MASKS[k]) * _ODD[k], cuts)
-            np.minimum(least[lo:hi, k], found, out=least[lo:hi, k])
-    out[full] = least
-    return out
-
-
-def _bands(values: np.ndarray) -> np.ndarray:
-    """One number for the values of each band."""
-    rows = values[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
-    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * P5, rows.shape[:2])
-    for k in range(ROWS):
-        out = _rotate((out ^ rows[:, :, k]) * P1, 31) * P2
-    return out
-
-
-def sketches(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, same, bands, sketch) of every row; ``same`` is equal for texts with the same words in the same order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in text_slices(batch, most=1_000_000):
-                values = minhashes(texts, shingle)
-                same = [int.from_bytes(blake2b(b" ".join(t.encode().lower().split()), digest_size=8).digest(), "little", signed=True) for t in texts]
-                bands = pa.array(list(_bands(values).view(np.int64)), pa.list_(pa.int64()))
-                sketch = pa.array([x.tobytes() for x in (values >> np.uint64(56)).astype(np.uint8)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(same, pa.int64()), bands, sketch], names=["doc_id", "key", "same", "bands", "sketch"])
-
-    rows = id_and_text(docs, id_col, text_col).withColumn("key", row_key())
-    return rows.mapInArrow(run, "doc_id long, key long, same long, bands array<long>, sketch binary")
-
-
-def pairs_in_group(root: np.ndarray, side: np.ndarray, sketch: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs worth an exact comparison, and whether each is almost surely similar.
-
-    ``root`` tells what is connected already. Pairs at ``sure`` or more connect: of those
-    only what joins something new is returned. Of likely ones all are that lie between
-    what is not connected in the end. ``side`` 1 and 2 are compared only across, 0 within.
-    """
-    root = np.unique(root, return_inverse=True)[1]
-    rows = np.arange(len(root))
-    firm, doubt = [], []
-    for i in rows[side < 2].tolist():
-        other = rows[i + 1 :] if side[i] == 0 else rows[side == 2]
-        other = other[root[other] != root[i]]
-        if not len(other):
-            continue
-        equal = (sketch[other] == sketch[i]).sum(axis=1) / SKETCH
-        close = other[equal >= sure]
-        if len(close):
-            roots, one = np.unique(root[close], return_index=True)
-            firm.append(np.stack([np.full(len(one), i), close[one]]))
-            root[np.isin(root, roots)] = root[i]
-        maybe = other[(equal >= LIKELY) & (equal < sure)]
-        if len(maybe):
-            doubt.append(np.stack([np.full(len(maybe), i), maybe]))
-    empty = np.empty((2, 0), np.int64)
-    firm, doubt = np.concatenate([empty, *firm], axis=1), np.concatenate([empty, *doubt], axis=1)
-    doubt = doubt[:, root[doubt[0]] != root[doubt[1]]]
-    a, b = np.concatenate([firm, doubt], axis=1)
-    return a, b, np.arange(len(a)) < firm.shape[1]
-
-
-def _likely_pairs(groups: DataFrame, sure: float) -> DataFrame:
-    """(a, b, sure), a < b, of rows (bucket, low, high, side, same, root, sketch) in equal (bucket, low, high)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def pairs(table: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero(np.any(table[1:, :3] != table[:-1, :3], axis=1)) + 1
-            out = [np.empty((0, 3), np.int64)]
-            for lo, hi in zip(np.append(0, cuts).tolist(), np.append(cuts, len(table)).tolist()):
-                if hi - lo > 1:
-                    a, b, firm = pairs_in_group(table[lo:hi, 5], table[lo:hi, 3], sketch[lo:hi], sure)
-                    x, y = table[lo:hi, 4][a], table[lo:hi, 4][b]
-                    out.append(np.stack([np.minimum(x, y), np.maximum(x, y), firm], axis=1))
-            found = np.unique(np.concatenate(out), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2] > 0)], names=["a", "b", "sure"])
-
-        for batch in batches:
-            table = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bucket", "low", "high", "side", "same", "root")], axis=1)
-            held.append((table, np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)))
-            if sum(len(x) for x, _ in held) >= 50_000:
-                table, sketch = (np.concatenate(x) for x in zip(*held))
-                last = np.flatnonzero(np.any(table[1:, :3] != table[:-1, :3], axis=1))
-                cut = int(last[-1]) + 1 if len(last) else 0
-                if cut:
-                    yield pairs(table[:cut], sketch[:cut])
-                held = [(table[cut:], sketch[cut:])]
-        if held:
-            yield pairs(*(np.concatenate(x) for x in zip(*held)))
-
-    order = ("bucket", "low", "high")
-    found = groups.repartition(*order).sortWithinPartitions(*order, "same").mapInArrow(run, "a long, b long, sure boolean")
-    return found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
-
-
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(same, shingles: distinct hashes) of the rows with the keys in ``wanted`` (same, key)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in text_slices(batch, most=1_000_000):
-                full, sizes, steps = _hashed(texts, shingle, 42)
-                flat = np.concatenate([np.empty(0, np.uint64), *(h for _, _, h, _ in steps)])
-                sets: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
-                for i, own in zip(full.tolist(), np.split(flat, np.cumsum(sizes)[:-1])):
-                    sets[i] = np.unique(own).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("same"), pa.array(sets, pa.list_(pa.int64()))], names=["same", "shingles"])
-
-    keyed = id_and_text(docs, id_col, text_col).withColumn("key", row_key()).join(wanted, "key").select("same", "text")
-    return keyed.mapInArrow(run, "same long, shingles array<long>").groupBy("same").agg(F.first("shingles").alias("shingles"))
-
-
-def similar_links(docs: DataFrame, classes: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = 1024, sure: float = SURE) -> DataFrame:
-    """Links (src, dst) between the classes (same, row, bands, sketch) whose sets of shingles have a Jaccard similarity of ``least`` or more.
-
-    Every link is verified exactly. They connect what all such pairs connect that share a band:
-    for similarity 0.8 or more 99.9 % of the pairs. A pair that almost sure ones connect is not
-    compared; if one of those fails, the pairs are sought again with nothing taken for sure.
-    """
-    banded = classes.select(F.explode("bands").alias("bucket"), "same")
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    # Written first, so that its size is known when Spark chooses how to join it.
-    shared = written(shared.select("bucket", F.when(F.col("n") > block, F.ceil(F.col("n") / block).cast("int")).alias("blocks")), "shared-bands")
-    members = written(banded.join(shared, "bucket").join(classes.select("same", "sketch"), "same"), "band-members")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "likely-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct().join(classes.select("same", "row.key"), "same")
-        sets = written(_shingle_sets(docs, wanted, shingle, id_col, text_col), "shingle-sets")
-        both = pairs.join(sets.select(F.col("same").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("same").alias("b"), F.col("shingles").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return written(both.select("a", "b", "sure", (common >= least * (F.size("x") + F.size("y") - common) - 1e-9).alias("similar")), "compared-pairs")
-
-    def dealt(root: DataFrame) -> DataFrame:
-        return _likely_pairs(_meetings(root, "same").select("bucket", "at.low", "at.high", "at.side", "same", "root", "sketch"), sure)
-
-    compared = verified(dealt(members.withColumn("root", F.col("same"))))
-    links = compared.where("similar").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    if compared.where("sure and not similar").limit(1).collect():
-        sure = 2.0
-        member = components(links)
-        root = members.join(member, members.same == member.node, "left").withColumn("root", F.coalesce("component", "same"))
-        again = dealt(root).join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.unionByName(verified(again).where("similar").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return links
-
-
-def representatives(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, as they are, that stand for their component: the smallest id (null last), once.
 
-    Texts with the same words are linked, and texts whose sets of ``shingle`` words have a
-    Jaccard similarity of ``least`` (0.8 or more) or above; a shorter text is one shingle.
+    Components are those of ``near_duplicates``: fingerprints within 4 bits link. Texts without
+    a word, null ones among them, all have fingerprint zero and count as copies of one another.
+    Equal rows leave one; an empty table gives none; columns may have any names.
     """
-    marked = written(sketches(docs, shingle, id_col, text_col), "sketches")
-    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
-    classes = written(marked.groupBy("same").agg(F.min(row).alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "text-classes")
-    member = components(similar_links(docs, classes, least, shingle, id_col, text_col))
-    named = classes.join(member, classes.same == member.node, "left").select("row", F.coalesce("component", "same").alias("component"))
-    chosen = named.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.key").alias("key"))
+    marked = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    first = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("row"))
+    chosen = first.join(_components(marked), "fp").groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.key").alias("key"))
     keyed = docs.select(row_key(id_col, text_col).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # Equal rows share a key; one of them is enough.
     return keyed.join(chosen, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row.*")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from strandline.llm.common import byte_sizes, documents, row_key, rows_again, slices, with_row, written
+from strandline.llm.common import byte_sizes, documents, rows_again, slices, with_row, written
 
 WINDOW = 200
 DIGIT = 32
@@ -141,7 +141,9 @@ def _tied(digit: np.ndarray, least: np.ndarray, start: np.ndarray, stop: np.ndar
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """text, key (rows with equal keys are equal in id and text), and the whole row."""
-    return with_row(docs, text_col).withColumn("key", row_key(f"row.{id_col}"))
+    rows = with_row(docs, text_col)
+    own = F.col(f"row.`{id_col}`")
+    return rows.withColumn("key", F.xxhash64(own.cast("long"), own.isNull(), F.col("text")))
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -185,7 +187,9 @@ def _texts_of(runs_: DataFrame, keyed: DataFrame) -> DataFrame:
                     names=["digit", "key", "start", "n", "copies", "body"],
                 )
 
-    return texts.join(wanted, "key").mapInArrow(cut, "digit long, key long, start int, n int, copies long, body binary")
+    # Equal rows share a key and a text; one of them is enough.
+    one = texts.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("runs").alias("runs"))
+    return one.mapInArrow(cut, "digit long, key long, start int, n int, copies long, body binary")
 
 
 def _windows(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -315,7 +319,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no matter.
     """
     keyed = _keyed(docs, id_col, text_col)
-    covers = repeated_windows(keyed.select("key", "text")).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("covers"))
+    covers = repeated_windows(keyed.select("key", "text")).groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("covers"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

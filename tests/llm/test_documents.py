@@ -141,52 +141,11 @@ def test_links_of_dense_and_random_fingerprints(llm, block):
     assert {x: found.get(x, x) for x in signed} == want
 
 
-def jaccard(a, b, k=5):
-    x, y = ({tuple(t.split()[i : i + k]) for i in range(max(1, len(t.split()) - k + 1))} for t in (a, b))
-    return len(x & y) / len(x | y)
-
-
-def edited(r, words, n):
-    out = list(words)
-    for p in r.choice(len(words), n, replace=False):
-        out[p] = f"new{r.integers(10**9)}"
-    return " ".join(out)
-
-
-def test_near_duplicate_stage_finds_copies_at_its_similarity(llm):
-    r = np.random.default_rng(5)
-    texts, near, far = [], 0, 0
-    for _ in range(60):
-        words = [f"w{x}" for x in r.integers(0, 10**6, 300)]
-        base, copy = " ".join(words), edited(r, words, int(r.integers(1, 12)))
-        if jaccard(base, copy) >= 0.8 or jaccard(base, copy) < 0.75:
-            texts += [base, copy]
-            near, far = near + (jaccard(base, copy) >= 0.8), far + (jaccard(base, copy) < 0.75)
-    ones = [(i, t) for i, t in enumerate(texts)]
-    want = {i for i, t in ones if i % 2 == 0 or jaccard(texts[i - 1], t) < 0.8}
-    assert near >= 25 and far >= 5
-    kept = corpus_pipeline.near_duplicates(llm, llm.createDataFrame(ones, "doc_id long, text string"), "")
-    assert {r.doc_id for r in kept.collect()} == want
-
-
-@pytest.mark.parametrize("block,sure", [(1024, 0.9), (8, 0.9), (8, 0.66)])
-def test_links_of_a_crowd_of_copies(llm, block, sure):
-    """Copies of one text at many similarities connect as all pairs of 0.8 or more do, also where the sure ones fail."""
-    r = np.random.default_rng(6)
-    words = [f"w{x}" for x in r.integers(0, 10**6, 250)]
-    texts = sorted({edited(r, words, int(n)) for n in r.integers(0, 14, 60)})
-    docs = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    marked = simhash.sketches(docs).selectExpr("same", "struct(doc_id is null as unnamed, doc_id, key) as row", "bands", "sketch").persist()
-    ids = {x.same: x.row.doc_id for x in marked.collect()}
-    found = {ids[x.node]: x.component for x in components(simhash.similar_links(docs, marked, block=block, sure=sure)).collect()}
-    parent = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if jaccard(texts[i], texts[j]) >= 0.8:
-                parent = [parent[j] if p == parent[i] else p for p in parent]
-    groups = lambda of: sorted(sorted(i for i in of if of[i] == c) for c in set(of.values()))
-    want = {i: c for i, c in enumerate(parent) if parent.count(c) > 1}
-    assert 3 < len(want) < len(texts) and groups(found) == groups(want)
+def test_near_duplicate_stage_keeps_one_of_each_component(llm, small):
+    docs = llm.read.parquet(f"{small}/documents.parquet")
+    found = QUERIES["op7_simhash"](llm, small).collect()
+    kept = corpus_pipeline.near_duplicates(llm, docs, small)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in found}) and len(found) > kept.count()
 
 
 def brute_suffixes(texts):
