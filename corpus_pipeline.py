@@ -25,9 +25,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, 0.8 or more of whose 5-word shingles are common: the smallest id."""
+    """One document of each group of near duplicates, the smallest id: 4-word SimHash fingerprints within 4 bits."""
     ship(spark)
-    return simhash.representatives(docs)
+    return simhash.representatives(docs, shingle=4)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
