@@ -269,7 +269,8 @@ def similar_links(docs: DataFrame, classes: DataFrame, least: float, shingle: in
             for part, texts in text_slices(batch, most=1_000_000):
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.view(np.int64) for s in shingle_sets(texts, shingle)], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    texts = id_and_text(docs, id_col, text_col).withColumn("key", row_key()).join(busy, "key").groupBy("node").agg(F.first("text").alias("text"))
+    # Sorted and merged at every size: what is busy grows with the input.
+    texts = id_and_text(docs, id_col, text_col).withColumn("key", row_key()).join(busy.hint("merge"), "key").groupBy("node").agg(F.first("text").alias("text"))
     sets = written(texts.mapInArrow(hashes, "node long, shingles array<long>"), "shingle-sets")
     members = written(first.drop("rows").join(busy.select("node"), "node"), "busy-members")
 
