@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.dates import add_months, as_date, month_diff, month_index, spans_days
 from strandline.functions.labels import flag, in_closed_range, relabel
+from strandline.operators import bitmaps
 from strandline.operators.relational import not_in_keys, window_pairs
 from strandline.operators.sequence import collapse_chains
 from strandline.sources.sinks import append_with_stamp, declare_result
@@ -49,6 +50,9 @@ class Calendar:
     first: str | Column
     n: int | Column
     months: int | Column = 24
+    # Where ``n`` and ``months`` are columns: bounds of the months covered and of a window's length.
+    most_months: int | None = None
+    longest_window: int | None = None
 
     @classmethod
     def of(cls, windows: DataFrame) -> Calendar:
@@ -68,6 +72,20 @@ class Calendar:
             raise ValueError("not equal windows on a monthly step: use window_pairs for this calendar")
         return cls(str(row["first"]), row.n, row.shortest)
 
+    @property
+    def span(self) -> int:
+        """Months from the first window's first to the last window's last, at most."""
+        return self.most_months or self.n + self.months - 1
+
+    @property
+    def longest(self) -> int:
+        return self.longest_window or self.months
+
+    @property
+    def reach(self) -> int | Column:
+        """Months in which a window goes beyond its first."""
+        return self.months - 1
+
     def month(self, on: str | Column) -> Column:
         """Month number of a date, 0 for the first window's first month."""
         return month_diff(as_date(self.first), on)
@@ -89,6 +107,9 @@ class Calendar:
     def end(self, k: Column) -> Column:
         return F.last_day(F.add_months(as_date(self.first), k + (self.months - 1)))
 
+    def last_day_of(self, month: Column) -> Column:
+        return F.last_day(self.start(month))
+
     def bounds(self, k: Column) -> list[Column]:
         """Start and end of window k."""
         return [self.start(k).alias("start_window"), self.end(k).alias("end_window")]
@@ -156,40 +177,64 @@ def condition_counts(person_table: DataFrame) -> DataFrame:
 
 # ---- periods opened by each event -------------------------------------------------
 
+def _days(events: DataFrame, months: int) -> DataFrame:
+    """Each distinct event with the one before and the one after it, in two levels.
+
+    The days of a key are dealt to blocks of the calendar; in a block they are bits, joined by OR
+    before the shuffle, so that repeats never travel and a key is split over tasks. Blocks are then
+    stitched by their last and first day: what is put in order is a row per block.
+    """
+    day = F.datediff("svc_date", F.lit("1970-01-01").cast("date"))
+    block = F.floor(day / bitmaps.WORD)
+    blocks = events.select(*KEYS, block.alias("_block"), (day - block * bitmaps.WORD).alias("_d")).groupBy(*KEYS, "_block").agg(
+        F.coalesce(bitmaps.union_of(F.col("_d"), 1)[0], F.lit(0).cast("long")).alias("_bits")
+    )
+    date_of = lambda d: F.date_add(F.lit("1970-01-01").cast("date"), (F.col("_block") * bitmaps.WORD).cast("int") + d)
+    dated = blocks.select(*KEYS, "_block", F.transform(bitmaps.places([F.col("_bits")]), date_of).alias("_dates"))
+    w = Window.partitionBy(*KEYS).orderBy("_block")
+    first, last = F.get("_dates", F.lit(0)), F.get("_dates", F.size("_dates") - 1)
+    stitched = dated.withColumn("_prior", F.lag(last).over(w)).withColumn("_next", F.lead(first).over(w))
+    # An event without a date has a block without days: it stays, as one row.
+    at = stitched.select(*KEYS, "_dates", "_prior", "_next", F.posexplode_outer("_dates").alias("_i", "svc_date"))
+    return at.select(
+        *KEYS, "svc_date", add_months("svc_date", months).alias("end_window"),
+        F.coalesce(F.get("_dates", F.col("_i") - 1), "_prior").alias("_prior"), F.coalesce(F.get("_dates", F.col("_i") + 1), "_next").alias("_next"),
+    )
+
+
 def overlap_flag(events: DataFrame, months: int = 24) -> DataFrame:
     """Events with the window they open and 1 where the window before is still open.
 
     An event given more than once counts once.
     """
-    w = Window.partitionBy(*KEYS).orderBy("svc_date")
-    again = (F.row_number().over(w) > 1) & F.lag("svc_date").over(w).eqNullSafe(F.col("svc_date"))
-    rows = events.select(*KEYS, "svc_date", add_months("svc_date", months).alias("end_window"), again.alias("_again"))
-    rows = rows.filter(~F.col("_again")).drop("_again")
-    still_open = F.lag("end_window").over(w).between(F.col("svc_date"), F.col("end_window"))
-    return rows.withColumn("cont", flag(still_open))
+    still_open = add_months("_prior", months) >= F.col("svc_date")
+    return _days(events, months).select(*KEYS, "svc_date", "end_window", flag(still_open).alias("cont"))
 
 
 def forward_window_periods(events: DataFrame, months: int = 24) -> DataFrame:
-    """Each event opens a window; overlapping windows form one period."""
-    rows = overlap_flag(events, months)
-    chains = collapse_chains(rows, KEYS, "svc_date", F.col("cont") == 0, F.min("svc_date"), F.max("end_window"))
-    return chains.select(
-        *KEYS, F.col("first").alias("from_date"), F.col("last").alias("to_date")
+    """Each event opens a window; overlapping windows form one period.
+
+    Events in one stretch of ``months`` calendar months always belong together, so a key's
+    stretch is its first and last day, reduced before the shuffle; stretches are then chained.
+    """
+    stretch = F.expr(f"_month div {months}") if months > 0 else F.col("svc_date")
+    blocks = events.select(*KEYS, "svc_date", month_index("svc_date").alias("_month")).groupBy(*KEYS, stretch.alias("_stretch")).agg(
+        F.min("svc_date").alias("_first"), F.max("svc_date").alias("_last")
     )
+    before = F.lag("_last").over(Window.partitionBy(*KEYS).orderBy("_first"))
+    rows = blocks.withColumn("_begins", F.coalesce(add_months(before, months) < F.col("_first"), F.lit(True)))
+    chains = collapse_chains(rows, KEYS, "_first", F.col("_begins"), F.min("_first"), F.max("_last"))
+    return chains.select(*KEYS, F.col("first").alias("from_date"), add_months("last", months).alias("to_date"))
 
 
 def boundary_event_rows(events: DataFrame, months: int = 24) -> DataFrame:
     """Only the events that begin or end a period, with the bound they set."""
-    rows = overlap_flag(events, months)
-    next_cont = F.lead("cont").over(Window.partitionBy(*KEYS).orderBy("svc_date"))
-    return (
-        rows.withColumn("_last", F.coalesce(next_cont == 0, F.lit(True)))
-        .filter((F.col("cont") == 0) | F.col("_last"))
-        .select(
-            *KEYS, "svc_date", "end_window", "cont",
-            F.when(F.col("cont") == 0, F.col("svc_date")).alias("start_window"),
-            F.when(F.col("cont") == 1, F.col("end_window")).alias("new_end_window"),
-        )
+    cont = flag(add_months("_prior", months) >= F.col("svc_date"))
+    last = F.coalesce(F.col("end_window") < F.col("_next"), F.lit(True))
+    return _days(events, months).withColumn("cont", cont).filter((F.col("cont") == 0) | last).select(
+        *KEYS, "svc_date", "end_window", "cont",
+        F.when(F.col("cont") == 0, F.col("svc_date")).alias("start_window"),
+        F.when(F.col("cont") == 1, F.col("end_window")).alias("new_end_window"),
     )
 
 
@@ -239,25 +284,29 @@ def window_periods(windows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return groups.agg(F.min("start_window").alias("from_date"), F.max("end_window").alias("to_date")).drop("grp")
 
 
-def _merge_ranges(ranges: DataFrame, keys: Sequence[str], calendar: Calendar) -> DataFrame:
-    """Merge window-number ranges [low, high] of a key whose windows touch, overlap or
-    follow each other, into dated periods."""
-    lower = Window.partitionBy(*keys).orderBy("low").rangeBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_reached", F.max("high").over(lower))
-    # The window that follows the last one without leaving a month out starts `months` later.
-    begins = F.coalesce(F.col("low") > F.col("_reached") + calendar.months, F.lit(True))
-    return collapse_chains(ranges, keys, "low", begins, F.min("low"), F.max("high")).select(
-        *keys, calendar.start(F.col("first")).alias("from_date"), calendar.end(F.col("last")).alias("to_date")
-    )
+def _periods(df: DataFrame, keys: Sequence[str], prefix: str, words: int, calendar: Calendar) -> DataFrame:
+    """Dated periods from the window numbers in the set ``prefix`` of each row.
+
+    Windows that overlap or follow each other without a month left out cover a run of months.
+    """
+    df = bitmaps.put(df, **{prefix: bitmaps.below(bitmaps.get(prefix, words), calendar.n)})
+    df = bitmaps.spread(df, prefix, words, calendar.reach, calendar.longest - 1, up=True)
+    found = df.select(*keys, F.explode(bitmaps.runs(bitmaps.get(prefix, words))).alias("_r"))
+    return found.select(*keys, calendar.start(F.col("_r.first")).alias("from_date"), calendar.last_day_of(F.col("_r.last")).alias("to_date"))
 
 
 def rolling_condition_periods(events: DataFrame, calendar: Calendar) -> DataFrame:
-    """Periods of consecutive calendar windows that contain an event."""
-    month = calendar.month("svc_date")
-    ranges = events.filter(calendar.covers("svc_date")).select(
-        *KEYS, calendar.lowest(month).alias("low"), calendar.highest(month).alias("high")
-    )
-    return _merge_ranges(ranges, KEYS, calendar)
+    """Periods of consecutive calendar windows that contain an event.
+
+    The months of a key's events are bits, joined by OR before the shuffle; a key is one row
+    a task, however many events it has, and nothing is put in order.
+    """
+    words = bitmaps.words_for(calendar.span)
+    rows = events.filter(calendar.covers("svc_date")).select(*KEYS, calendar.month("svc_date").alias("_m"))
+    months = [w.alias(c) for w, c in zip(bitmaps.union_of(F.col("_m"), words), bitmaps.columns("_w", words))]
+    marked = rows.groupBy(*KEYS).agg(*months)
+    windows = bitmaps.spread(marked, "_w", words, calendar.reach, calendar.longest - 1, up=False)
+    return _periods(windows, KEYS, "_w", words, calendar)
 
 
 # ---- conditions described by a table of rules -------------------------------------
@@ -470,36 +519,29 @@ def condition_periods(
 ) -> DataFrame:
     """Periods per person and condition, for all conditions that share a calendar.
 
-    A window meets the rule if it contains a type-1 claim, or (type 2) two type-2
-    claims on different days, that is two neighbouring such days. Each gives a range
-    of window numbers, so no person is multiplied by the calendar.
+    A window meets the rule if it contains a type-1 claim, or (type 2) type-2 claims on two
+    days. Days are reduced per month (a type-1 claim, a type-2 claim, type-2 claims on two
+    days), months are bits of a key's row, and windows and periods are found by shifts.
     """
     keys = [person, "ccw_code"]
     claims = _with_header(qualifying_claims(claim_dx, dx_lookup, specs), claim_header, specs, "inner", person)
     two_claims = F.col("ccw_code").isin(*[s.code for s in specs if s.condition_type == 2])
-    days = (
-        claims.filter(F.col(person).isNotNull() & calendar.covers("first_service_date"))
-        .groupBy(*keys, "first_service_date")
-        .agg(F.max("condition1").alias("one"), F.max(flag((F.col("condition2") == 1) & two_claims)).alias("two"))
-        .filter("one = 1 OR two = 1")
-        .withColumn("m", calendar.month("first_service_date"))
-    )
-    m = F.col("m")
-    earlier = Window.partitionBy(*keys).orderBy("first_service_date").rowsBetween(Window.unboundedPreceding, -1)
-    prior_two = F.max(F.when(F.col("two") == 1, m)).over(earlier)
-    # Windows that hold this day, and windows that hold it and the type-2 day before it.
-    by_one = F.when(F.col("one") == 1, F.struct(calendar.lowest(m).alias("low"), calendar.highest(m).alias("high")))
-    by_two = F.when(
-        (F.col("two") == 1) & F.col("prior").isNotNull(),
-        F.struct(calendar.lowest(m).alias("low"), calendar.highest(F.col("prior")).alias("high")),
-    )
-    ranges = (
-        days.withColumn("prior", prior_two)
-        .select(*keys, F.explode(F.filter(F.array(by_one, by_two), lambda r: r.isNotNull())).alias("r"))
-        .select(*keys, "r.*").filter("low <= high")
+    dated = claims.filter(F.col(person).isNotNull() & calendar.covers("first_service_date"))
+    second = F.when((F.col("condition2") == 1) & two_claims, F.col("first_service_date"))
+    monthly = dated.groupBy(*keys, calendar.month("first_service_date").alias("_m")).agg(
+        F.max("condition1").alias("one"), F.min(second).alias("_from"), F.max(second).alias("_to")
     )
+    words = bitmaps.words_for(calendar.span)
+    sets = {"_one": F.col("one") == 1, "_two": F.col("_from").isNotNull(), "_both": F.col("_from") < F.col("_to")}
+    marked = monthly.groupBy(*keys).agg(*[
+        w.alias(c) for prefix, only in sets.items()
+        for w, c in zip(bitmaps.union_of(F.col("_m"), words, only), bitmaps.columns(prefix, words))
+    ])
+    found = bitmaps.spread(marked, "_one", words, calendar.reach, calendar.longest - 1, up=False)
+    found = bitmaps.twice_within(found, "_two", "_both", words, calendar.months, calendar.longest)
+    found = bitmaps.put(found, _one=bitmaps.either(bitmaps.get("_one", words), bitmaps.get("_both", words)))
     names = relabel(F.col("ccw_code").cast("string"), {str(s.code): s.desc for s in specs})
-    return _merge_ranges(ranges, keys, calendar).select(person, "from_date", "to_date", "ccw_code", names.alias("ccw_desc"))
+    return _periods(found, keys, "_one", words, calendar).select(person, "from_date", "to_date", "ccw_code", names.alias("ccw_desc"))
 
 
 def _calendar_by_code(used: Mapping[int, Calendar]) -> Calendar:
@@ -510,7 +552,10 @@ def _calendar_by_code(used: Mapping[int, Calendar]) -> Calendar:
     def pick(value) -> Column:
         return reduce(lambda acc, kv: acc.when(F.col("ccw_code") == kv[0], value(kv[1])), used.items(), F)
 
-    return Calendar(pick(lambda c: as_date(c.first)), pick(lambda c: c.n), pick(lambda c: c.months))
+    return Calendar(
+        pick(lambda c: as_date(c.first)), pick(lambda c: c.n), pick(lambda c: c.months),
+        most_months=max(c.span for c in used.values()), longest_window=max(c.longest for c in used.values()),
+    )
 
 
 def multi_condition_run(

@@ -4,7 +4,9 @@ import random
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from strandline.operators import bitmaps
 from strandline.operators.relational import window_pairs
 from strandline.plans import conditions
 from strandline.plans.conditions import Calendar, ConditionSpec
@@ -35,7 +37,8 @@ def random_dates(rng, n):
     return [date(2014, 6, 1) + timedelta(days=rng.randrange(3000)) for _ in range(n)]
 
 
-CALENDARS = [Calendar("2015-01-01", 60, 1), Calendar("2015-01-01", 48, 3), Calendar("2015-03-01", 40, 24), Calendar("2016-11-01", 1, 12)]
+CALENDARS = [Calendar("2015-01-01", 60, 1), Calendar("2015-01-01", 48, 3), Calendar("2015-03-01", 40, 24), Calendar("2016-11-01", 1, 12),
+             Calendar("2014-01-01", 60, 30), Calendar("2013-01-01", 120, 7), Calendar("2014-01-01", 30, 70)]
 
 
 @pytest.mark.parametrize("cal", CALENDARS, ids=str)
@@ -56,6 +59,48 @@ def test_rolling_periods_equal_the_window_matrix(spark, cal):
     assert Calendar.of(table) == cal
 
 
+def test_bit_sets_equal_sets(spark):
+    """Shifts, windows with one or two members, and runs, over one to four words."""
+    rng = random.Random(4)
+    for n in (5, 62, 63, 64, 126, 130, 200):
+        words = bitmaps.words_for(n)
+        sets = [sorted(rng.sample(range(n), rng.randrange(0, min(n, 12)))) for _ in range(25)] + [[], list(range(n)), [0], [n - 1]]
+        rows = spark.createDataFrame([(i, p) for i, s in enumerate(sets) for p in s] + [(i, None) for i in range(len(sets))], "i int, p int")
+        df = rows.groupBy("i").agg(*[w.alias(c) for w, c in zip(bitmaps.union_of(F.col("p"), words, F.col("p").isNotNull()), bitmaps.columns("a", words))])
+        length = rng.randrange(1, n + 1)
+        df = bitmaps.put(df, b=bitmaps.get("a", words), c=bitmaps.get("a", words), d=[F.lit(0).cast("long")] * words)
+        df = bitmaps.spread(df, "b", words, F.lit(length - 1), length - 1, up=True)
+        df = bitmaps.twice_within(df, "c", "d", words, length, length)
+        found = df.select("i", *[bitmaps.places(bitmaps.below(bitmaps.get(x, words), n)).alias(x) for x in "abcd"], bitmaps.runs(bitmaps.get("a", words)).alias("runs")).collect()
+        for r in found:
+            own = sets[r.i]
+            assert r.a == own
+            assert r.b == [k for k in range(n) if any(k - length < p <= k for p in own)]
+            inside = [sum(k <= p < k + length for p in own) for k in range(n)]
+            assert r.c == [k for k in range(n) if inside[k] > 0] and r.d == [k for k in range(n) if inside[k] > 1]
+            assert [p for a, b in r.runs for p in range(a, b + 1)] == own and all(b + 1 not in own for _, b in r.runs)
+
+
+def test_periods_over_bits_need_no_order(spark):
+    events = spark.createDataFrame([("p", date(2015, 1, 3), "c")], "id_mcaid string, svc_date date, bh_cond string")
+    plan = conditions.rolling_condition_periods(events, CALENDARS[2])._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan and plan.count("Exchange") == 1
+
+
+def test_a_key_of_repeated_events(spark):
+    """A million rows of one key, all on few days: repeats fall out before anything travels, and the flags are those of the days."""
+    days = [date(2015, 1, 1), date(2015, 3, 4), date(2017, 3, 4), date(2019, 3, 5), date(2019, 3, 6)]
+    many = spark.range(1_000_000).select(
+        F.lit("p").alias("id_mcaid"), F.array(*[F.lit(d) for d in days])[(F.col("id") % 5).cast("int")].alias("svc_date"), F.lit("c").alias("bh_cond"))
+    many = many.unionByName(many.limit(2).withColumn("svc_date", F.lit(None).cast("date")))
+    flags = {r.svc_date: r.cont for r in conditions.overlap_flag(many).collect()}
+    assert flags == dict(zip([None, *days], [0, 0, 1, 1, 0, 1]))
+    periods = conditions.forward_window_periods(many).collect()
+    assert sorted((r.from_date, r.to_date) for r in periods) == [(date(2015, 1, 1), date(2019, 3, 4)), (date(2019, 3, 5), date(2021, 3, 6))]
+    plan = conditions.overlap_flag(many)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Sort") < plan.index("partial_bit_or")
+
+
 def test_irregular_calendars_are_refused_but_joinable(spark):
     odd = [(date(2020, 1, 10), date(2020, 2, 20)), (date(2020, 5, 1), date(2020, 5, 31))]
     table = spark.createDataFrame(odd, "start_window date, end_window date")
