@@ -8,7 +8,7 @@ execution) and shuffled, with skewed partitions split, when it is not.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,13 +56,37 @@ def left_join_in_range(df: DataFrame, other: DataFrame, key: str, in_range: Colu
     return df.join(other.filter(in_range), key, "left")
 
 
-def left_join_many(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+HEAVY_ROWS = 2_000_000  # rows of one key that a task may join
+
+
+def heavy_keys(df: DataFrame, key: str, rows: int = HEAVY_ROWS) -> list[tuple]:
+    """Keys with more than ``rows`` rows and the number of parts of that size they fill.
+
+    One counted pass, combined before its shuffle. At most (all rows / ``rows``) keys reach the driver.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    return [(r[0], -(-r[1] // rows)) for r in counts.collect()]
+
+
+def left_join_many(df: DataFrame, other: DataFrame, key: str, rows: int = HEAVY_ROWS) -> DataFrame:
     """Left join to a side on which one key may hold a large part of all rows.
 
-    A left join cannot split its right side. An inner join can, so the matched rows
-    come from one and the rows without a partner are added.
+    Spark splits a skewed left side of a left join, but never the right one. Right rows of a
+    heavy key are therefore dealt to parts by a hash of the row, and left rows of these keys
+    alone are repeated, once a part. Both sides are read once; without a heavy key this is a plain left join.
     """
-    return df.join(other, key).unionByName(not_in_keys(df, key, other, key), allowMissingColumns=True)
+    heavy = heavy_keys(other, key, rows)
+    if not heavy:
+        return df.join(other, key, "left")
+    kind = other.schema[key].dataType.simpleString()
+    # The list is bounded by the rows of ``other`` / ``rows``.
+    listed = F.broadcast(df.sparkSession.createDataFrame(heavy, f"`{key}` {kind}, _parts long"))
+    left = df.join(listed, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts") - 1, F.lit(0)))))
+    own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in other.columns]), F.coalesce(F.col("_parts"), F.lit(1)))
+    right = other.join(listed, key, "left").withColumn("_part", own).drop("_parts").withColumn("_found", F.lit(True))
+    joined = left.join(right, [key, "_part"], "left")
+    # A heavy key has partners: a repeat that met an empty part is no row without a partner.
+    return joined.where("_parts IS NULL OR _found").drop("_part", "_parts", "_found")
 
 
 def window_pairs(df: DataFrame, windows: DataFrame, on: str) -> DataFrame:
@@ -98,6 +122,19 @@ def null_profile(df: DataFrame, column: str, counted: str) -> DataFrame:
     return df.groupBy(F.col(column).isNull().cast("int").alias("is_missing")).agg(F.countDistinct(counted).alias("cnt"))
 
 
+def count_chain(df: DataFrame, by: Sequence[Column | str], counts: Mapping[str, Column | None]) -> DataFrame:
+    """Row counts of several conditions side by side per group, for groups in which the first is met.
+
+    The counts of a chain of summaries, each left-joined to the first: one grouping gives them
+    all. A condition that a group does not meet is NULL; None counts every row.
+    """
+    def rows(condition: Column | None) -> Column:
+        return F.count(F.lit(1)) if condition is None else F.nullif(F.count_if(condition), F.lit(0))
+
+    first = next(iter(counts))
+    return df.groupBy(*by).agg(*[rows(c).alias(name) for name, c in counts.items()]).where(F.col(first).isNotNull())
+
+
 def subset_share(df: DataFrame, by: Sequence[str], counted: str, subset: Column) -> DataFrame:
     """Subset count next to the total count per group, for groups the subset reaches."""
     return (

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,10 +12,11 @@ from pyspark.sql import functions as F
 from strandline.functions.dates import day_diff, half_year, month_key_int, same_month
 from strandline.functions.labels import facility_type, fallback_in_range, flag, in_closed_range
 from strandline.operators.relational import (
-    code_rows, first_ranks, in_keys, left_join_in_range, not_in_keys, pivot_ranks, rows_in_both, rows_only_in_first,
+    code_rows, first_ranks, in_keys, left_join_in_range, left_join_many, not_in_keys, pivot_ranks, rows_in_both, rows_only_in_first,
     with_code_in,
 )
 from strandline.plans.cohorts import CANCELLED
+from strandline.sources.sinks import written_step
 
 # Diagnosis sets that make a mental health admission, and community agencies.
 MENTAL_HEALTH_SETS = ["Mental Health Diagnosis", "Mental Illness", "Intentional Self-Harm"]
@@ -52,6 +55,34 @@ def principal_dx_claims(
     ).distinct()
 
 
+def inpatient_mh_claims(
+    claim_line: DataFrame, claim_dx: DataFrame, claim_header: DataFrame, codes: DataFrame, start, end, version: str = "2020",
+    sets: Sequence[str] = tuple(MENTAL_HEALTH_SETS),
+) -> DataFrame:
+    """Claims that are both inpatient stays and mental health claims of the period, with one read of the headers.
+
+    Equal to ``inpatient_mh`` of the two: lines and diagnoses meet the headers in one join, and
+    rows found on both sides are those of either kind in one grouping.
+    """
+    lines = with_code_in(claim_line, "rev_code", code_rows(codes, ["Inpatient Stay"], "UBREV", version))
+    dx = claim_dx.filter((F.col("icdcm_version") == 10) & (F.col("icdcm_number") == "01"))
+    dx = with_code_in(dx, "icdcm_norm", code_rows(codes, sets, "ICD10CM"))
+    asked = lines.select("claim_header_id", F.col("id_mcaid").alias("_line_id"), F.lit(True).alias("_stay")).unionByName(
+        dx.select("claim_header_id", F.lit(None).cast(claim_line.schema["id_mcaid"].dataType).alias("_line_id"), F.lit(False).alias("_stay"))
+    ).distinct()
+    header = claim_header.select("claim_header_id", "id_mcaid", "admsn_date", "first_service_date", F.lit(True).alias("_there"))
+    rows = asked.join(header, "claim_header_id", "left")
+    stay, found = F.col("_stay"), F.col("_there") & in_closed_range("admsn_date", start, end)
+    in_period = fallback_in_range("admsn_date", "first_service_date", start, end)
+    sides = rows.select(
+        F.when(stay, F.col("_line_id")).when(found, F.col("id_mcaid")).alias("id_mcaid"),
+        F.when(stay | found, F.col("claim_header_id")).alias("claim_header_id"),
+        F.when(F.when(stay, in_period).otherwise(found), F.col("admsn_date")).alias("admit_date"), "_stay",
+    )
+    both = sides.groupBy("id_mcaid", "claim_header_id", "admit_date").agg(F.bool_or("_stay").alias("_a"), F.bool_and("_stay").alias("_b"))
+    return both.where("_a AND NOT _b").drop("_a", "_b")
+
+
 def inpatient_mh(stays: DataFrame, mh_claims: DataFrame) -> DataFrame:
     """Claims in both sets (whole rows; NULL equals NULL)."""
     return rows_in_both(stays, mh_claims)
@@ -101,6 +132,15 @@ def voluntary_admissions(
     return rows.select("kcid", "admit_date", F.lit(1).alias("vol_flag"), "agency_id").distinct()
 
 
+def recorded_admissions(auth: DataFrame, stay: DataFrame, ip_invol: DataFrame, ip_vol: DataFrame, status: Column, start, end) -> DataFrame:
+    """Distinct stays of the period under an authorisation with a legal record, and which kinds it has."""
+    kinds = ip_invol.select("auth_no", F.lit(True).alias("_i")).unionByName(ip_vol.select("auth_no", F.lit(False).alias("_i")))
+    kinds = kinds.groupBy("auth_no").agg(F.bool_or("_i").alias("involuntary"), F.bool_or(~F.col("_i")).alias("voluntary"))
+    stays = stay.filter(in_closed_range("admit_date", start, end)).select("auth_no", "admit_date", "agency_id")
+    return auth.filter(status).select("auth_no", "kcid").join(kinds, "auth_no").join(stays, "auth_no").select(
+        "auth_no", "kcid", "admit_date", "agency_id", "involuntary", "voluntary").distinct()
+
+
 def admissions_by_year(stays: DataFrame, flag_column: str, person: str = "kcid") -> DataFrame:
     """Stays and distinct members per admit year."""
     return stays.groupBy(F.year("admit_date").alias("admit_year")).agg(
@@ -149,7 +189,7 @@ def id_crosswalk_wide(crosswalk: DataFrame, persons: DataFrame, keep: int = 3) -
 def attach_external_id(stays: DataFrame, wide: DataFrame) -> DataFrame:
     """Admissions with each external id that lists the person first."""
     ids = wide.select(F.col("kcid_1").alias("kcid"), "p1_id")
-    return stays.join(ids, "kcid", "left").select(*stays.columns, "p1_id")
+    return left_join_many(stays, ids, "kcid").select(*stays.columns, "p1_id")
 
 
 def voluntary_by_difference(mh_claims: DataFrame, invol_with_id: DataFrame) -> DataFrame:
@@ -181,6 +221,77 @@ def covered_match_rate(invol_with_id: DataFrame, mh_claims: DataFrame) -> DataFr
     )
 
 
+@dataclass
+class AdmissionChain:
+    """Inpatient claims, involuntary and voluntary admissions and their match, from the tables of both id systems.
+
+    Each step is planned once, when it is first asked for. Steps that several others use are
+    written once to the session's shared folder and read from there, so their inputs are not
+    read again and a lost executor costs no more than the step at hand.
+    """
+
+    claim_line: DataFrame
+    claim_dx: DataFrame
+    claim_header: DataFrame
+    codes: DataFrame
+    auth: DataFrame
+    stay: DataFrame
+    ip_invol: DataFrame
+    ip_vol: DataFrame
+    coverage: DataFrame
+    crosswalk: DataFrame
+    start: str
+    end: str
+    status: Column | None = None
+
+    @cached_property
+    def inpatient_mh(self) -> DataFrame:
+        return inpatient_mh_claims(self.claim_line, self.claim_dx, self.claim_header, self.codes, self.start, self.end)
+
+    @cached_property
+    def admissions(self) -> DataFrame:
+        """Used by both kinds, the coverage flag and the id crosswalk: written."""
+        return written_step(recorded_admissions(self.auth, self.stay, self.ip_invol, self.ip_vol, self._status, self.start, self.end), "admissions")
+
+    @cached_property
+    def involuntary(self) -> DataFrame:
+        return self.admissions.where("involuntary").select("auth_no", "kcid", "admit_date", F.lit(1).alias("invol_flag"), "agency_id")
+
+    @cached_property
+    def voluntary(self) -> DataFrame:
+        return self.admissions.where("voluntary").select("auth_no", "kcid", "admit_date", F.lit(0).alias("invol_flag"), "agency_id")
+
+    @cached_property
+    def covered(self) -> DataFrame:
+        # The join itself picks the months of these persons: no need to list them first.
+        return coverage_flag(self.involuntary, coverage_months(self.coverage))
+
+    @cached_property
+    def crosswalk_wide(self) -> DataFrame:
+        """Counted for heavy persons and joined: written."""
+        return written_step(id_crosswalk_wide(self.crosswalk, self.involuntary), "crosswalk")
+
+    @cached_property
+    def involuntary_with_id(self) -> DataFrame:
+        return attach_external_id(self.covered, self.crosswalk_wide)
+
+    @cached_property
+    def voluntary_mcaid(self) -> DataFrame:
+        return voluntary_by_difference(self.inpatient_mh, self.involuntary_with_id)
+
+    @cached_property
+    def voluntary_all(self) -> DataFrame:
+        return voluntary_combined(self.voluntary_mcaid, self.voluntary)
+
+    @cached_property
+    def match_rate(self) -> DataFrame:
+        return covered_match_rate(self.involuntary_with_id, self.inpatient_mh)
+
+    @property
+    def _status(self) -> Column:
+        return status_in() if self.status is None else self.status
+
+
 # ---- residential stays and length of stay -----------------------------------------
 
 def residential_stays(

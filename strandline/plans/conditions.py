@@ -202,6 +202,11 @@ def _days(events: DataFrame, months: int) -> DataFrame:
     )
 
 
+def next_dates(events: DataFrame) -> DataFrame:
+    """Distinct events with the date of the next one of the person and condition, for keys of any size."""
+    return _days(events, 0).select(*KEYS, "svc_date", F.col("_next").alias("next_date"))
+
+
 def overlap_flag(events: DataFrame, months: int = 24) -> DataFrame:
     """Events with the window they open and 1 where the window before is still open.
 
@@ -394,6 +399,15 @@ def _match_codes(claim_dx: DataFrame, dx_lookup: DataFrame, columns: Sequence[st
     )
 
 
+def max_flags(claim_dx: DataFrame, dx_lookup: DataFrame, flags: Mapping[str, str]) -> DataFrame:
+    """Per claim, whether any of its diagnoses carries each lookup flag, for claims with one at least.
+
+    ``flags`` maps result columns to lookup columns.
+    """
+    matched = _match_codes(claim_dx, dx_lookup, list(flags.values()))
+    return matched.groupBy("claim_header_id").agg(*[F.max(column).alias(name) for name, column in flags.items()])
+
+
 def claim_exclusion(claim_dx: DataFrame, dx_lookup: DataFrame, spec: ConditionSpec) -> DataFrame:
     """Diagnoses of the claims that carry none of the condition's exclusions."""
     if not spec.exclusions:

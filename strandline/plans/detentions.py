@@ -169,22 +169,34 @@ def new_entrants_by_year(detained: DataFrame) -> DataFrame:
     return entries.join(totals, "call_year", "left")
 
 
-def petition_history(intake: DataFrame, petition: DataFrame, filed_by=None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Intakes with their petitions, numbered per person by call stamp.
-
-    ``filed_by`` keeps petitions filed up to that date (and so drops intakes without).
-    """
+def _numbered_petitions(intake: DataFrame, petition: DataFrame, filed_by, hot_rows: int | None, *last: str) -> DataFrame:
     rows = intake.filter(F.col("call_stamp").isNotNull()).select("intake_no", "kcid", "call_stamp")
     if filed_by is None:
         rows = left_join_many(rows, petition.select("intake_no", "petition_no", "file_date"), "intake_no")
     else:
         rows = rows.join(petition.filter(F.col("file_date") <= F.lit(str(filed_by)).cast("date")), "intake_no")
     rows = rows.select("petition_no", "file_date", "intake_no", "kcid", "call_stamp").distinct()
-    return number_events(rows, "kcid", "call_stamp", ["intake_no", "petition_no"], hot_rows=hot_rows).select(
-        "petition_no", "file_date", "intake_no", "kcid", "call_stamp", F.year("call_stamp").alias("call_year"), "ordinal"
+    return number_events(rows, "kcid", "call_stamp", ["intake_no", "petition_no", *last], hot_rows=hot_rows).select(
+        "petition_no", "file_date", "intake_no", "kcid", "call_stamp", F.year("call_stamp").alias("call_year"), "ordinal", "prev_stamp"
     )
 
 
+def petition_history(intake: DataFrame, petition: DataFrame, filed_by=None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Intakes with their petitions, numbered per person by call stamp.
+
+    ``filed_by`` keeps petitions filed up to that date (and so drops intakes without).
+    """
+    return _numbered_petitions(intake, petition, filed_by, hot_rows).drop("prev_stamp")
+
+
+def petition_year_gaps(intake: DataFrame, petition: DataFrame, filed_by=None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Petition history with the year of the row before and the years since it.
+
+    Rows of one stamp follow each other by intake, petition and filing date.
+    """
+    return add_year_gaps(_numbered_petitions(intake, petition, filed_by, hot_rows, "file_date")).drop("prev_stamp")
+
+
 def nth_event_by_year(history: DataFrame) -> DataFrame:
     """Events by their ordinal (1st … 5th and later), total and distinct, per year.
 

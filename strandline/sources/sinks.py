@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.session import work_folder
+
 
 def overwrite_result(df: DataFrame, path: str) -> DataFrame:
     """Drop and rebuild a result; returns it as read back."""
@@ -15,6 +17,13 @@ def overwrite_result(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_step(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a fresh table in the session's shared folder, for steps that others read more than once."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def declare_result(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """An empty result with declared columns."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

@@ -347,12 +347,8 @@ b AS (SELECT call_year, count(*) AS n_high FROM y WHERE disposition = '2-HIGH' G
 c AS (SELECT call_year, count(*) AS n_all FROM y GROUP BY 1)
 SELECT CAST(a.call_year AS INT) AS call_year, n_urgent, n_high, n_all FROM a LEFT JOIN b USING (call_year) LEFT JOIN c USING (call_year)""")
 def _(t):
-    def n(code):
-        return F.expr(f"nullif(count_if(disposition = '{code}'), 0)")
-
-    return t.intake.groupBy(F.year("call_stamp").alias("call_year")).agg(
-        n("1-URGENT").alias("n_urgent"), n("2-HIGH").alias("n_high"), F.count(F.lit(1)).alias("n_all")
-    ).filter("n_urgent IS NOT NULL")
+    what = F.col("disposition")
+    return rel.count_chain(t.intake, [F.year("call_stamp").alias("call_year")], {"n_urgent": what == "1-URGENT", "n_high": what == "2-HIGH", "n_all": None})
 
 
 @query("group_share_join", """
@@ -458,12 +454,7 @@ def _(t):
 SELECT d.claim_header_id, max(x.ccw_a_excl) AS exclude1, max(x.ccw_b_excl) AS exclude2 FROM claim_dx d
 JOIN dx_lookup x ON d.icdcm_norm = x.dx AND d.icdcm_version = x.dx_ver WHERE x.ccw_a_excl = 1 OR x.ccw_b_excl = 1 GROUP BY 1""")
 def _(t):
-    ref = t.dx_lookup.filter("ccw_a_excl = 1 OR ccw_b_excl = 1").select(
-        F.col("dx").alias("icdcm_norm"), F.col("dx_ver").alias("icdcm_version"), "ccw_a_excl", "ccw_b_excl"
-    )
-    return t.claim_dx.join(ref, ["icdcm_norm", "icdcm_version"]).groupBy("claim_header_id").agg(
-        F.max("ccw_a_excl").alias("exclude1"), F.max("ccw_b_excl").alias("exclude2")
-    )
+    return conditions.max_flags(t.claim_dx, t.dx_lookup, {"exclude1": "ccw_a_excl", "exclude2": "ccw_b_excl"})
 
 
 @query("distinct_count_by_null_flag", """
@@ -511,10 +502,7 @@ def _(t):
 @query("next_value", """
 SELECT id_mcaid, bh_cond, svc_date, lag(svc_date) OVER (PARTITION BY id_mcaid, bh_cond ORDER BY svc_date DESC) AS next_date FROM ev_all""")
 def _(t):
-    w = Window.partitionBy("id_mcaid", "bh_cond").orderBy("svc_date")
-    return conditions.condition_events(t.claim_dx, t.claim_pharm, t.value_set).select(
-        "id_mcaid", "bh_cond", "svc_date", F.lead("svc_date").over(w).alias("next_date")
-    )
+    return conditions.next_dates(conditions.condition_events(t.claim_dx, t.claim_pharm, t.value_set))
 
 
 @query("overlap_flag", "SELECT id_mcaid, bh_cond, svc_date, cont FROM chain_flags")
