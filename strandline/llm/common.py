@@ -126,14 +126,11 @@ class Recent(dict):
         if len(self) > self.half:
             self.aside = dict(self)
             self.clear()
-        out = []
-        for k in keys:
-            if k not in self:
-                if k in self.aside:
-                    self[k] = self.aside.pop(k)
-                else:
-                    out.append(k)
-        return out
+        new = [k for k in keys if k not in self]
+        for k in new:
+            if k in self.aside:
+                self[k] = self.aside.pop(k)
+        return [k for k in new if k not in self] if self.aside else new
 
 
 _SHIPPED: set[str] = set()

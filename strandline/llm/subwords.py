@@ -138,6 +138,9 @@ class Subwords:
         data = column.buffers()[2]
         raw = np.zeros(total + 2, np.uint8)
         raw[:total] = np.frombuffer(data, np.uint8)[:total]
+        if self.lower:  # the vocabulary knows no capitals; fewer different units are looked up
+            raw += 32 * ((raw >= ord("A")) & (raw <= ord("Z"))).astype(np.uint8)
+            data = pa.py_buffer(raw)
         cuts = np.append(unit_starts(raw, np.unique(sizes[:-1][np.diff(sizes) > 0])), total).astype(np.int32)
         units = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), data).dictionary_encode()
         distinct = units.dictionary.to_pylist()

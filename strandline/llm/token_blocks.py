@@ -12,11 +12,12 @@ range of ids be read without the blocks around it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import documents, id_and_text, text_slices
@@ -105,8 +106,9 @@ def write_token_table(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     A row of the table holds whole documents, so a very long text makes one long payload.
     Shards number the ranges; positions count from the start of the shard.
     """
-    keyed = id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
-    ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    keyed = id_and_text(docs, id_col, text_col).select("*", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "tie", "row"]  # the last keeps very many equal rows from one range
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +123,7 @@ def write_token_table(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, _TABLE)], names=_NAMES)
 
         for batch in batches:
-            for part_batch, texts in text_slices(batch):
+            for part_batch, texts in text_slices(batch, most=6_000_000):
                 for doc_id, ids in zip(part_batch.column("doc_id").to_pylist(), words.encode(texts)):
                     held.append(ids + end)
                     held_ids.append(doc_id)
@@ -145,25 +147,24 @@ def read_token_table(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document: ``ids`` little-endian unsigned 32-bit,
     ``start`` the ids of all documents before it."""
     table = spark.read.schema("shard int, first long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary").parquet(folder)
-    # One row per shard, so both the ordered window and the broadcast side are as small as the count of partitions.
-    shards = table.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    bases = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
-    placed = table.join(F.broadcast(bases), "shard").select((F.col("base") + F.col("first")).alias("at"), "doc_ids", "lengths", "payload")
+    # A number per shard; shards are the tasks that wrote the table.
+    shards = sorted(table.groupBy("shard").agg(F.sum("n_ids")).collect())
+    bases = dict(zip([s for s, _ in shards], accumulate((n for _, n in shards), initial=0)))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                lengths = batch.column("lengths")[r].as_py()
+                lengths, at = batch.column("lengths")[r].as_py(), bases[batch.column("shard")[r].as_py()] + batch.column("first")[r].as_py()
                 ids = decode_blocks(batch.column("payload")[r].as_py()).astype("<u4").tobytes()
                 ends = np.cumsum(lengths)
                 begins = ends - lengths
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(batch.column("doc_ids")[r].as_py(), pa.int64()), pa.array(begins + batch.column("at")[r].as_py(), pa.int64()),
+                    [pa.array(batch.column("doc_ids")[r].as_py(), pa.int64()), pa.array(begins + at, pa.int64()),
                      pa.array(lengths, pa.int64()), pa.array([ids[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist())], pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return placed.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
+    return table.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,42 @@ def recount(counted: DataFrame, vocabulary: str, edits_of: Callable[[str], list[
     return counted.mapInArrow(run, "doc_id long, n_tokens long, n_edits long, n_encoded long, n_tokens_after long, tree binary")
 
 
+def count_edited(docs: DataFrame, vocabulary: str, edits_of: Callable[[str], list[Edit]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, n_edits, n_encoded, n_tokens_after) before and after edits that are known at once.
+
+    As ``recount`` after ``count_trees``, in one pass: a tree is kept for as long as its document
+    is edited, and a document without an edit needs none. Null texts count as empty; repeated
+    rows give repeated results, an empty table none. No shuffle.
+    """
+    names = ["doc_id", "n_tokens", "n_edits", "n_encoded", "n_tokens_after"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Subwords.load(vocabulary, KEEPS_SPACES)
+
+        def count(units: list[str]) -> list[int]:
+            return [len(ids) // 4 for ids in words.encode_units(units)]
+
+        for batch in batches:
+            for part, texts in text_slices(batch, most=6_000_000):
+                edits = [edits_of(t) for t in texts]
+                plain = iter(words.encode([t for t, e in zip(texts, edits) if not e]))
+                trees = iter(words.counts([t for t, e in zip(texts, edits) if e]))
+                rows = []
+                for text, own in zip(texts, edits):
+                    if own:
+                        tree = SegmentTree(next(trees))
+                        before = tree.total
+                        _, encoded = apply_edits(tree, text, own, words.units, count)
+                        rows.append((before, len(own), encoded, tree.total))
+                    else:
+                        n = len(next(plain)) // 4
+                        rows.append((n, 0, 0, n))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=names)
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+_ASKED = re.compile(r"[@\d]").search
 _PERSONAL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])|\+\d{1,3}[ (]*\d{2,4}[) -]*\d{3}-\d{4}")
 
 
@@ -204,7 +240,7 @@ def redactions(text: str) -> list[Edit]:
             edits.append((max(at - 1, 0), end, ""))
         else:
             seen.add(line)
-            if "@" in line or any(c.isdigit() for c in line):
+            if _ASKED(line):
                 edits += [(at + m.start(), at + m.end(), "[redacted]") for m in _PERSONAL.finditer(line)]
         at = end + 1
     return edits
@@ -213,5 +249,4 @@ def redactions(text: str) -> list[Edit]:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document before and after its redactions, counted through the trees."""
     vocabulary = default_path("byte_bpe_50k.json")
-    counted = count_trees(documents(spark, sf_dir), vocabulary)
-    return recount(counted, vocabulary, redactions).select("doc_id", "n_tokens", "n_edits", "n_encoded", "n_tokens_after")
+    return count_edited(documents(spark, sf_dir), vocabulary, redactions)

@@ -199,7 +199,10 @@ def test_op5_counts(llm, odd, odd_texts, none, small):
     assert sum(r.n_edits for r in rows) > 0
     counted = token_counts.recount(token_counts.count_trees(odd, vocabulary), vocabulary, token_counts.redactions)
     assert sorted((r.n_tokens, r.n_tokens_after) for r in counted.collect()) == sorted(want(t or "") for _, t, _ in odd_texts)
-    assert token_counts.count_trees(none, vocabulary).count() == 0
+    names = ["n_tokens", "n_edits", "n_encoded", "n_tokens_after"]
+    once = token_counts.count_edited(odd, vocabulary, token_counts.redactions)
+    assert sorted(map(tuple, once.select(names).collect())) == sorted(map(tuple, counted.select(names).collect()))
+    assert token_counts.count_trees(none, vocabulary).count() == 0 and token_counts.count_edited(none, vocabulary, token_counts.redactions).count() == 0
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
