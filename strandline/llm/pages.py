@@ -12,12 +12,13 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import byte_sizes, slices, written
@@ -46,7 +47,7 @@ ARTICLE = frozenset("article content post entry story main body text".split())
 ROOTS = ("article", "main")
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)|<[!?][^>]*>"
+    r"(?P<note><!--)(?:.*?(?P<over>-->)|.*\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>(?:.*?(?P<end></(?P=raw)\s*>)|.*\Z)|<[!?][^>]*>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[/a-zA-Z][^>]*>",
     re.S | re.I,
 )
@@ -83,60 +84,111 @@ def _marks(rest: str) -> tuple[str, bool]:
     return label, never
 
 
+#: Elements below this depth hang on the one at this depth, as in browsers (which allow 512), in page order.
+DEPTH = 150
+
+
+class _Open:
+    """The open elements while a page is read."""
+
+    def __init__(self):
+        self.stack = [Node("", "", False)]
+        self.count: Counter = Counter()  # open elements by tag, so that what is not open isn't looked for
+
+    def add(self, part: str | Node) -> None:
+        top = self.stack[-1]
+        if len(self.stack) - 1 > DEPTH:
+            above = self.stack[DEPTH]
+            if isinstance(part, Node):
+                part.never |= top.never
+                above.parts.append(part)
+                return
+            if above.parts[-1] is not top:  # goes on after an element inside it
+                top = self.stack[-1] = Node(top.label, top.tag, top.never)
+                above.parts.append(top)
+        top.parts.append(part)
+
+    def push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.count[node.tag] += 1
+
+    def cut(self, i: int) -> None:
+        for node in self.stack[i:]:
+            self.count[node.tag] -= 1
+        del self.stack[i:]
+
+    def close(self, tag: str) -> bool:
+        """Close the innermost element with the tag and all inside it."""
+        if not self.count[tag]:
+            return False
+        if tag not in ("body", "html"):  # what follows these still belongs to the page
+            self.cut(next(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].tag == tag))
+        return True
+
+    def end_inside(self, tags: Sequence[str], more: bool = False) -> None:
+        """Close the innermost open element with one of the tags, up to the scope around; ``more``: all of them."""
+        if any(self.count[t] for t in tags):
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].tag in tags:
+                    self.cut(i)
+                    if not more:
+                        break
+                elif self.stack[i].tag in SCOPES:
+                    break
+
+
+def _ends_open(m: re.Match) -> bool:
+    """Whether a token is a comment or raw element without an end: all that follows belongs to it."""
+    return bool(m["raw"] and not m["end"] or m["note"] and not m["over"])
+
+
+def _tokens(page: str) -> Iterator[tuple[str, re.Match | None]]:
+    """The texts and tags of a page in order. Tags end in `>`: nothing is sought behind the last one, where a search would fail at its very end."""
+    stop = page.rfind(">") + 1
+    at, m = 0, None
+    for m in _TOKEN.finditer(page, 0, stop):
+        yield page[at : m.start()], m
+        at = m.end()
+    if m is None or at < stop or not _ends_open(m):
+        comment = page.find("<!--", stop)
+        yield page[at : len(page) if comment < 0 else comment], None
+
+
 def parse(page: str) -> Node:
     """The tree of a page; unclosed and misplaced tags are mended as browsers do."""
-    root = Node("", "", False)
-    stack = [root]
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            stack[-1].parts.append(page[at : m.start()])
-        at = m.end()
+    tree = _Open()
+    stack = tree.stack
+    for text, m in _tokens(page):
+        if text:
+            tree.add(text)
+        if m is None:
+            break
         name = m["name"]
         if name is None:
             continue
         name = name.lower()
         if name == "br":
-            stack[-1].parts.append(" ")
+            tree.add(" ")
             continue
         if name not in BLOCKS:
             continue
         if m["close"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    if name not in ("body", "html"):  # what follows still belongs to the page
-                        del stack[i:]
-                    break
-            else:
-                if name == "p":
-                    stack[-1].parts.append(Node("p", "p", False))
+            if not tree.close(name) and name == "p":
+                tree.add(Node("p", "p", False))
             continue
         if name in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPES:
-                    break
+            tree.end_inside(("p",))
         elif own := ENDS_OWN.get(name):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in own:
-                    del stack[i:]
-                    if name != "tr":
-                        break
-                elif stack[i].tag in SCOPES:
-                    break
-        if name in ("html", "body") and any(n.tag == name for n in stack):
+            tree.end_inside(own, more=name == "tr")
+        if name in ("html", "body") and tree.count[name]:
             continue
         rest = m["rest"]
         label, never = _marks(rest) if "class" in rest or "id" in rest or "role" in rest else ("", False)
         node = Node(name + label, name, never or name in NEVER)
-        stack[-1].parts.append(node)
+        tree.add(node)
         if name not in VOID and not rest.endswith("/"):
-            stack.append(node)
-    if at < len(page):
-        stack[-1].parts.append(page[at:])
-    return root
+            tree.push(node)
+    return stack[0]
 
 
 def _flat(text: str) -> str:
@@ -301,8 +353,10 @@ def article(page: str, rule: dict) -> str:
     return "\n\n".join(x for x in map(_flat, blocks) if x)
 
 
-def host(url: str | None) -> str:
-    return re.sub(r"^[a-z][a-z0-9+.-]*://", "", (url or "").strip().lower()).split("/")[0].split("?")[0].split("#")[0].split("@")[-1]
+def host(url: Column) -> Column:
+    """Host of an url, empty for null."""
+    name = F.regexp_replace(F.lower(F.trim(F.coalesce(url, F.lit("")))), r"^[a-z][a-z0-9+.-]*://", "")
+    return F.regexp_replace(F.regexp_extract(name, r"^[^/?#]*", 0), r"^.*@", "")
 
 
 def _shape(node: list) -> list:
@@ -342,9 +396,9 @@ def wrappers(pages: DataFrame, together: int = 64) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["host", "shape", "place", "low", "high", "size", "n", "contents"])
 
         for batch in batches:
-            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
+            for name, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 tree = skeleton(parse(page))
-                key, values = (host(url), json.dumps(_shape(tree))), _hashes(tree)
+                key, values = (name, json.dumps(_shape(tree))), _hashes(tree)
                 old = seen.get(key)
                 seen[key] = values if old is None else [(min(a[0], b[0]), max(a[1], b[1]), max(a[2], b[2]), a[3] + b[3]) for a, b in zip(old, values)]
                 own = int.from_bytes(blake2b(repr(_content(tree)).encode(), digest_size=7).digest(), "little")
@@ -394,14 +448,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Character references are decoded, white space inside a block becomes one space, blocks
     are joined by a blank line. Null or empty html gives an empty text; pages without an
-    url share a host; repeated rows give repeated results, an empty table none.
+    url share a host; repeated rows give repeated results, an empty table none. Elements nested
+    over DEPTH deep are read as lying side by side; an unclosed comment or script goes to the end.
     """
     raw = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     # The table of rules is written, so that Spark knows its size when it chooses the join.
-    rules = wrappers(raw.select("url", "html"))
-    name = F.regexp_replace(F.lower(F.trim(F.coalesce("url", F.lit("")))), r"^[a-z][a-z0-9+.-]*://", "")
-    name = F.regexp_replace(F.regexp_extract(name, r"^[^/?#]*", 0), r"^.*@", "")
-    joined = raw.withColumn("host", name).join(rules, "host", "left").select("page_id", "url", "html", "rule")
+    raw = raw.withColumn("host", host(F.col("url")))
+    rules = wrappers(raw.select("host", "html"))
+    joined = raw.join(rules, "host", "left").select("page_id", "url", "html", "rule")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str | None, dict] = {None: {"path": [], "template": []}}

@@ -1,6 +1,7 @@
 """Rules, classifier, SimHash, suffix dedup, page text and the pipeline against brute force."""
 
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -242,6 +243,25 @@ def test_pages_of_copies_keep_their_blocks(llm):
     assert all(got[200 + i] == f"Its heading\n\n{text[0 if i else 1].strip()}" for i in range(12))
 
 
+def test_pages_of_any_depth_and_length(llm):
+    """Nesting without end, tags and comments that are never closed, hosts of two pages and without an article element."""
+    long = "deep text" + "<p>more</p>tail"
+    html = {
+        1: "<article>" + "<div>" * 5000 + long + "</div>" * 5000 + "</article>", 2: "<article><p>kept</p>" + "<script " * 650_000, 3: "<article><p>kept</p>" + '<p a="x ' * 650_000,
+        4: "<article><p>kept</p></article>" + "<!--" * 1_200_000, 5: "<article><p>kept</p>" + "<blockquote>" * 60_000, 6: '<article><p>kept</p><p a="x ' + "</h1>" * 100_000,
+        7: "<div class=main><p>one two three</p></div><div class=menu>menu</div>", 8: "<div class=main><p>four five six</p></div><div class=menu>menu</div>", 9: None, 10: "",
+        11: "<script </script>all of it", 12: "<article>" + "<nav><div>" * 400 + "never</article>",
+    }
+    started = time.perf_counter()
+    for page in html.values():
+        pages.skeleton(pages.parse(page or ""))
+    assert time.perf_counter() - started < 60
+    rows = [(i, f"http://h{i // 7}.example/{i}" if i % 2 else f"\thttp://h{i // 7}.example/{i}", h) for i, h in html.items()]
+    found = {r.page_id: r.text for r in pages.extract(llm.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[1] == "deep text\n\nmore\n\ntail" and all(found[i].startswith("kept") for i in (2, 3, 4, 5, 6))
+    assert found[7] == "one two three" and found[8] == "four five six" and [found[i] for i in (9, 10, 11, 12)] == [""] * 4
+
+
 def test_simple_tree_matching():
     tree = lambda label, *children: [label, False, 1, 1, 1, list(children), 1]
     a = tree("r", tree("x"), tree("y", tree("p")), tree("z"))
