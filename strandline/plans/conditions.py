@@ -22,7 +22,7 @@ from strandline.functions.labels import flag, in_closed_range, relabel
 from strandline.operators import bitmaps
 from strandline.operators.relational import not_in_keys, window_pairs
 from strandline.operators.sequence import collapse_chains
-from strandline.sources.sinks import append_with_stamp, declare_result
+from strandline.sources import versions
 
 # Value sets, small groups folded together, and the condition a drug group points to.
 DIAGNOSIS_SETS = ["MI-Diagnosis", "SUD-Dx-Value-Set"]
@@ -593,11 +593,10 @@ def multi_condition_run(
     return condition_periods(claim_dx, header, dx_lookup, specs, _calendar_by_code(used), person)
 
 
-def load_condition_table(periods: DataFrame, path: str, person: str = "id_mcaid") -> DataFrame:
+def load_condition_table(periods: DataFrame, path: str, load_id: str | None = None) -> DataFrame:
     """Rebuild the condition table from the periods of all conditions, with load time.
 
-    The id keeps the type it has in the claims.
+    The former table stays current until the new one is whole; a ``load_id`` loaded before changes
+    nothing. The id keeps the type it has in the claims.
     """
-    schema = f"{person} {periods.schema[person].dataType.simpleString()}, from_date date, to_date date, ccw_code int, ccw_desc string, last_run timestamp"
-    declare_result(periods.sparkSession, path, schema)
-    return append_with_stamp(periods, path)
+    return versions.replace(periods.withColumn("last_run", F.current_timestamp()), path, load_id)

@@ -9,7 +9,7 @@ from suite.registry import QUERIES
 
 # One-row or report-size results may end in one partition; nothing else may pass through one.
 SMALL_END = {"overall_mean_gap"}
-WRITES = {"metric_file_scan", "overwrite_result", "append_with_stamp", "declare_result", "report_export", "load_condition_table"}
+WRITES = {"metric_file_scan", "overwrite_result", "append_with_stamp", "declare_result", "report_export", "load_condition_table", "load_conditions"}
 
 
 def plan_of(spark, small, name):
