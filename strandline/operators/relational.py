@@ -148,6 +148,31 @@ def subset_share(df: DataFrame, by: Sequence[str], counted: str, subset: Column)
     )
 
 
+def level_counts(df: DataFrame, levels: Mapping[str, Sequence[str]], person: str, total: Column, names: tuple[str, str]) -> DataFrame:
+    """A total and the distinct persons of every group of every level, as rows (level, columns of all levels, ``names``).
+
+    ``levels`` maps a level's name to the columns it groups by; columns it lacks are NULL. The rows of a
+    person are shuffled once for all levels: combined to the set of the finest groups the person is in, which
+    the levels' groups are taken from. These sets are bounded by the number of groups, not by rows. A missing
+    person counts in the total only; an empty table gives no row. No column may be named ``level``.
+    """
+    finest = list(dict.fromkeys(c for columns in levels.values() for c in columns))
+
+    def groups(value: Column) -> Column:
+        def column(level: str, c: str) -> Column:
+            return (value[c] if c in levels[level] else F.lit(None).cast(df.schema[c].dataType)).alias(c)
+
+        return F.array(*[F.struct(F.lit(level).alias("level"), *[column(level, c) for c in finest]) for level in levels])
+
+    sets = df.groupBy(person).agg(F.collect_set(F.struct(*finest)).alias("_in"))
+    reached = F.explode(F.array_distinct(F.flatten(F.transform("_in", groups)))).alias("_group")
+    persons = sets.select(reached, F.lit(None).alias("_total"), F.col(person).isNotNull().cast("bigint").alias("_person"))
+    totals = df.groupBy(*finest).agg(F.sum(total).alias("_total"))
+    totals = totals.select(F.explode(groups(F.struct(*finest))).alias("_group"), "_total", F.lit(0).cast("bigint").alias("_person"))
+    counted = totals.unionByName(persons).groupBy("_group").agg(F.sum("_total").alias(names[0]), F.sum("_person").alias(names[1]))
+    return counted.select("_group.*", *names)
+
+
 def pivot_ranks(df: DataFrame, by: str, rank: str, value: str, ranks: Sequence[int], prefix: str) -> DataFrame:
     """One column per listed rank holding the largest value at that rank."""
     wide = df.groupBy(by).pivot(rank, list(ranks)).agg(F.max(value))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from strandline.functions.dates import day_diff, half_year, month_key_int, same_month
 from strandline.functions.labels import facility_type, fallback_in_range, flag, in_closed_range
 from strandline.operators.relational import (
-    code_rows, first_ranks, in_keys, left_join_in_range, left_join_many, not_in_keys, pivot_ranks, rows_in_both, rows_only_in_first,
-    with_code_in,
+    code_rows, first_ranks, in_keys, left_join_in_range, left_join_many, level_counts, not_in_keys, pivot_ranks, rows_in_both,
+    rows_only_in_first, with_code_in,
 )
 from strandline.plans.cohorts import CANCELLED
 from strandline.sources.sinks import written_step
@@ -155,6 +155,15 @@ def admissions_by_half_year(stays: DataFrame, flag_column: str, person: str = "k
     )
 
 
+def admissions_by_level(stays: DataFrame, flag_column: str, person: str = "kcid") -> DataFrame:
+    """Stays and distinct members per admit half, per year, per agency and year, and of all, from one shuffle of the members."""
+    dated = stays.select(
+        person, flag_column, "agency_id", F.year("admit_date").alias("admit_year"), half_year("admit_date").alias("admit_time")
+    )
+    levels = {"half": ["admit_year", "admit_time"], "year": ["admit_year"], "agency": ["agency_id", "admit_year"], "all": []}
+    return level_counts(dated, levels, person, F.col(flag_column), ("count_inpatient_stay", "count_unique_mbr"))
+
+
 # ---- coverage and id crosswalk ----------------------------------------------------
 
 def coverage_months(
