@@ -318,6 +318,36 @@ def test_neighbours_of_odd_vectors(llm):
     assert [r.vec_id for r in neighbours.nearest(df, df.where("vec_id = 0")).collect()] == [8, 1, 2, 20, 9]
 
 
+def test_neighbours_of_doubles(llm):
+    """Scores are of the doubles as given: nothing is rounded to float, and 1e39 is a finite component."""
+    rows = [(0, [1.0, 0.5]), (1, [1.0, 0.0]), (2, [1.000000001, 0.0]), (3, [1e39, 0.0]), (4, [-1.0, 1e-300]), (5, [1e200, 1e200])]
+    df = llm.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.where("vec_id = 0")).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(5, 1.5e200), (3, 1e39), (2, 1.000000001), (1, 1.0), (4, -1.0 + 5e-301)]
+
+
+@pytest.mark.parametrize("block", [50, 16_384])
+def test_neighbours_of_clusters(llm, block):
+    """Vectors in tight clusters, one of which holds a third of the rows: exact where everything is visited, and recall otherwise."""
+    random = np.random.default_rng(2)
+    centres = random.standard_normal((30, 12))
+    of = np.where(random.random(900) < 0.33, 0, random.integers(0, 30, 900))
+    x = (centres[of] + 0.2 * random.standard_normal((900, 12))) * random.uniform(0.5, 2, (900, 1))
+    df = llm.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    asked = list(range(0, 900, 20))
+    want = {q: [i for _, i in sorted((-(x[q] * x[i]).sum(), i) for i in range(900) if i != q)[:10]] for q in asked}
+
+    def found(**how):
+        out = {}
+        for r in neighbours.nearest(df, df.where("vec_id % 20 = 0"), k=10, block=block, **how).orderBy("query_id", "rank").collect():
+            out.setdefault(r.query_id, []).append(r.vec_id)
+        return out
+
+    assert found(target=1.0) == want
+    some = found()
+    assert sum(len(set(some[q]) & set(want[q])) for q in asked) >= 0.9 * 10 * len(asked)
+
+
 def test_pipeline(llm, small):
     docs = corpus_pipeline.documents(llm, small)
     texts = {d.doc_id: d.text for d in docs.collect()}
