@@ -1,13 +1,15 @@
 """Sub-word encoding with the tokenizers library, remembered per unit.
 
-No token of the two vocabularies used here spans the gap between two units, so a text's
-ids are those of its units in order. Texts are cut with array operations on their bytes
+Where no token of a vocabulary spans the gap between two units, a text's ids are those of
+its units in order; that is tested when a vocabulary is loaded, and texts are encoded
+whole if it fails. Texts are cut with array operations on their bytes
 and each distinct unit of a slice is looked up once; those that a worker has not met go
 through the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Sequence
@@ -62,6 +64,7 @@ def unit_starts(raw: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     after = np.zeros(len(raw), bool)  # the byte before is a space of the same text
     after[1:] = space[:-1]
     after[text_starts] = False
+    after[-2:] = False  # nothing follows the last text
     before = np.ones(len(raw), bool)  # ... is no space, or of another text
     before[1:] = ~space[:-1]
     starts = space & before
@@ -77,6 +80,35 @@ def unit_starts(raw: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
+def _byte_letters() -> dict[str, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else one from 256 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _token_bytes(library) -> list[bytes]:
+    """What the tokens stand for in a text, special ones left out."""
+    config = json.loads(library.to_str())
+    added = {a["content"]: a["special"] for a in config["added_tokens"]}
+    affixes = [x for x in (config["model"].get("end_of_word_suffix"), config["model"].get("continuing_subword_prefix")) if x]
+    letters = _byte_letters() if '"ByteLevel"' in json.dumps(config["pre_tokenizer"]) else None
+    out = [t.encode() for t, special in added.items() if not special]
+    for token in library.get_vocab(with_added_tokens=False):
+        if token in added:
+            continue
+        for affix in affixes:
+            token = token.removesuffix(affix) if affix == affixes[0] else token.removeprefix(affix)
+        if letters is not None and all(c in letters for c in token):
+            out.append(bytes(letters[c] for c in token))
+        else:
+            out.append(token.replace("\u2581", " ").encode())
+    return [t for t in out if t]
+
+
+#: Short texts whose ids must be those of their units.
+_PROBES = ("a", "a b", " a", "a  b ", "it's a\n\n test, b.c (d) #e", "A\tB\u3000c \u00e9\u00a0d  ", "x1 2y 33 'll 's")
+
 _LOADED: dict[tuple, Subwords] = {}
 
 
@@ -84,7 +116,9 @@ class Subwords:
     """``encode`` gives each text's ids as little-endian unsigned 32-bit integers.
 
     ``limit`` bounds the units remembered (those not met lately go first); units over 64
-    characters are encoded but not remembered longer than a slice.
+    characters are encoded but not remembered longer than a slice. A vocabulary with a
+    token across a cut (or a rule that looks across one) has no ``cuts``: ``encode`` then
+    gives the library's ids of whole texts, and what needs units raises ValueError.
     """
 
     def __init__(self, path: str, unit: str, limit: int = 500_000):
@@ -98,7 +132,26 @@ class Subwords:
         # A unit of ASCII letters is one pre-token, so its merges can be asked for directly.
         normalizer = self.library.normalizer
         self.lower = normalizer is not None and normalizer.normalize_str("A") == "a"
-        self.lead = self.library.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1]
+        self.cuts = self._cuts()
+        if self.cuts:
+            self.lead = self.library.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1]
+
+    def _cuts(self) -> bool:
+        """Whether a text's ids are those of its units."""
+        if self.library.pre_tokenizer is None or not hasattr(self.library.model, "tokenize"):
+            return False
+        tokens = _token_bytes(self.library)
+        ends = np.cumsum([len(t) + 2 for t in tokens])  # apart, by bytes no text has: parts of characters don't join
+        raw = np.frombuffer(b"\xff\xff".join(tokens) + b"\xff\xff\0\0", np.uint8)
+        if len(unit_starts(raw, np.sort(np.concatenate([[0], ends, ends - 2]))[:-1])) > 2 * len(tokens):
+            return False
+        split = re.compile(KEEPS_SPACES).findall
+        ids = [e.ids for e in self.library.encode_batch(list(_PROBES), add_special_tokens=False)]
+        return all(list(chain.from_iterable(e.ids for e in self.library.encode_batch(split(t), add_special_tokens=False))) == own for t, own in zip(_PROBES, ids))
+
+    def _need_cuts(self) -> None:
+        if not self.cuts:
+            raise ValueError("tokens of this vocabulary span words: texts can only be encoded whole")
 
     @classmethod
     def load(cls, path: str, unit: str) -> Subwords:
@@ -130,6 +183,8 @@ class Subwords:
                 self.known.pop(u, None)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
+        if not self.cuts:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(list(texts), add_special_tokens=False)]
         column = pa.array(texts, pa.string())
         sizes = np.frombuffer(column.buffers()[1], np.int32)[: len(texts) + 1]
         total = int(sizes[-1]) if len(texts) else 0
@@ -153,11 +208,13 @@ class Subwords:
 
     def encode_units(self, units: Sequence[str]) -> list[bytes]:
         """The ids of each of some units."""
+        self._need_cuts()
         self._learn(set(units))
         return [self.known[u] for u in units]
 
     def counts(self, texts: Sequence[str]) -> list[list[tuple[int, int]]]:
         """(characters, tokens) of every unit of each text."""
+        self._need_cuts()
         split = [self.units(t) for t in texts]
         distinct = set(chain.from_iterable(split))
         self._learn(distinct)

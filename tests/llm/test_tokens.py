@@ -216,3 +216,26 @@ def test_units_give_the_ids_of_whole_texts(name):
     got = [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)]
     assert got == [e.ids for e in words.library.encode_batch(texts, add_special_tokens=False)]
     assert words.encode([]) == [] and words.encode(["", ""]) == [b"", b""]
+    assert words.cuts
+    for t in ["a\n\n", "a  ", "\n\n\n", "a\xa0\xa0", "b \u3000\u3000"]:  # the end of the last text is like that of any other
+        assert np.frombuffer(words.encode(["x", t])[1], "<u4").tolist() == words.library.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("split", [True, False])
+def test_a_vocabulary_with_tokens_across_a_blank_encodes_whole_texts(tmp_path, split):
+    """Byte level, with a merge across the blank, or words with a blank before every text: ids are the library's."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tokens = ["a", "b", "\u0120", "a\u0120", "a\u0120b"] if not split else ["a", "b", "\u0120", "\u0120a", "\u0120b"]
+    merges = [("a", "\u0120"), ("a\u0120", "b")] if not split else [("\u0120", "a"), ("\u0120", "b")]
+    library = Tokenizer(models.BPE(vocab={t: i for i, t in enumerate(tokens)}, merges=merges))
+    library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=split, use_regex=split)
+    library.save(str(tmp_path / "own.json"))
+    words = Subwords(str(tmp_path / "own.json"), KEEPS_SPACES)
+    texts = ["a b", "", "ab a b", " a"]
+    assert not words.cuts
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)] == [e.ids for e in library.encode_batch(texts)]
+    if not split:
+        assert np.frombuffer(words.encode(["a b"])[0], "<u4").tolist() == [4]
+    with pytest.raises(ValueError, match="whole"):
+        words.counts(texts)
