@@ -45,11 +45,53 @@ def code_rows(codes: DataFrame, names: Sequence[str], system: str | None = None,
     return out.select("code", "value_set_name")
 
 
-def with_code_in(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
-    """Rows whose code is listed; a code listed twice does not repeat the row."""
+CODE_LIST = 2_000  # codes that a filter may hold
+
+
+def listed_codes(codes: DataFrame, by: Sequence[str] = (), column: str = "code", most: int = CODE_LIST) -> dict[tuple, list] | None:
+    """The distinct codes under each value of ``by``, from one read of the code table; None if they are more than ``most`` in all.
+
+    At most ``most`` + 1 rows reach the driver, whatever the size of the table. Missing codes match nothing and are left out.
+    """
+    rows = codes.where(F.col(column).isNotNull()).select(*by, column).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        return None
+    out: dict[tuple, list] = {}
+    for *key, code in rows:
+        out.setdefault(tuple(key), []).append(code)
+    return {key: sorted(found) for key, found in out.items()}
+
+
+def at_scan(df: DataFrame, column: str, values: Sequence | None) -> DataFrame:
+    """Rows whose value is in a list, as a filter that reaches the file reader; all rows where there is no list."""
+    if values is None:
+        return df
+    return df.where(F.col(column).isin(*values) if values else F.lit(False))
+
+
+def with_code_in(df: DataFrame, column: str, codes: DataFrame, most: int = CODE_LIST) -> DataFrame:
+    """Rows whose code is listed; a code listed twice does not repeat the row.
+
+    Up to ``most`` codes of the column's type are a filter at the scan; more are a semi join.
+    """
+    if df.schema[column].dataType == codes.schema["code"].dataType:
+        lists = listed_codes(codes, most=most)
+        if lists is not None:
+            return at_scan(df, column, lists.get((), []))
     return df.join(codes.select(F.col("code").alias("_k")), F.col(column) == F.col("_k"), "left_semi")
 
 
+def with_code_columns(df: DataFrame, column: str, codes: DataFrame, most: int = CODE_LIST) -> DataFrame:
+    """Rows joined to their entries in ``codes`` (code and further columns), repeated once an entry.
+
+    Up to ``most`` different codes of the column's type are a filter at the scan before the join.
+    """
+    if df.schema[column].dataType == codes.schema["code"].dataType:
+        lists = listed_codes(codes, most=most)
+        df = at_scan(df, column, None if lists is None else lists.get((), []))
+    return df.join(codes.withColumnRenamed("code", column), column)
+
+
 def left_join_in_range(df: DataFrame, other: DataFrame, key: str, in_range: Column) -> DataFrame:
     """Left join with a range test inside the join: rows without a partner in range stay,
     with NULLs on the other side."""

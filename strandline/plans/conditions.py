@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from strandline.functions.dates import add_months, as_date, month_diff, month_index, spans_days
 from strandline.functions.labels import flag, in_closed_range, relabel
 from strandline.operators import bitmaps
-from strandline.operators.relational import not_in_keys, window_pairs
+from strandline.operators.relational import CODE_LIST, at_scan, listed_codes, not_in_keys, window_pairs
 from strandline.operators.sequence import collapse_chains
 from strandline.sources import versions
 
@@ -128,7 +128,21 @@ def _condition_of_set() -> Column:
     return F.when(folded, "Other Substance").otherwise(F.col("sub_group"))
 
 
-def _by_diagnosis(claim_dx, value_set):
+def _listed(value_set: DataFrame, most: int = CODE_LIST) -> dict[str, list] | None:
+    """Codes of diagnoses and of prescriptions, both from one read of the table; None if there are very many."""
+    kind = F.when(F.col("value_set_name") == PHARMACY_SET, "rx").otherwise("dx").alias("_kind")
+    wanted = value_set.filter(F.col("value_set_name").isin(*DIAGNOSIS_SETS, PHARMACY_SET))
+    lists = listed_codes(wanted.select(kind, "code"), ["_kind"], most=most)
+    return None if lists is None else {k: lists.get((k,), []) for k in ("dx", "rx")}
+
+
+def _at_scan(df: DataFrame, column: str, value_set: DataFrame, values: list | None) -> DataFrame:
+    """The list as a filter where the column has the type of the codes; the join that follows decides."""
+    return at_scan(df, column, values) if df.schema[column].dataType == value_set.schema["code"].dataType else df
+
+
+def _by_diagnosis(claim_dx, value_set, lists=None):
+    claim_dx = _at_scan(claim_dx, "icdcm_norm", value_set, lists and lists["dx"])
     codes = value_set.filter(F.col("value_set_name").isin(*DIAGNOSIS_SETS)).select(
         F.col("code").alias("icdcm_norm"), _condition_of_set().alias("bh_cond")
     )
@@ -137,7 +151,8 @@ def _by_diagnosis(claim_dx, value_set):
     ).select("id_mcaid", "svc_date", "bh_cond")
 
 
-def _by_pharmacy(claim_pharm, value_set):
+def _by_pharmacy(claim_pharm, value_set, lists=None):
+    claim_pharm = _at_scan(claim_pharm, "ndc", value_set, lists and lists["rx"])
     codes = value_set.filter(F.col("value_set_name") == PHARMACY_SET).select(
         F.col("code").alias("ndc"), relabel("sub_group", DRUG_CONDITIONS).alias("bh_cond")
     )
@@ -148,23 +163,25 @@ def _by_pharmacy(claim_pharm, value_set):
 
 def conditions_from_diagnosis(claim_dx: DataFrame, value_set: DataFrame) -> DataFrame:
     """Distinct (person, date, condition) of diagnoses in the value sets."""
-    return _by_diagnosis(claim_dx, value_set).distinct()
+    return _by_diagnosis(claim_dx, value_set, _listed(value_set)).distinct()
 
 
 def conditions_from_pharmacy(claim_pharm: DataFrame, value_set: DataFrame) -> DataFrame:
     """Distinct (person, date, condition) of prescriptions in the value set."""
-    return _by_pharmacy(claim_pharm, value_set).distinct()
+    return _by_pharmacy(claim_pharm, value_set, _listed(value_set)).distinct()
 
 
 def condition_events(claim_dx: DataFrame, claim_pharm: DataFrame, value_set: DataFrame) -> DataFrame:
     """Both kinds of events, each once."""
-    return _by_diagnosis(claim_dx, value_set).union(_by_pharmacy(claim_pharm, value_set)).distinct()
+    lists = _listed(value_set)
+    return _by_diagnosis(claim_dx, value_set, lists).union(_by_pharmacy(claim_pharm, value_set, lists)).distinct()
 
 
 def condition_person_table(claim_dx: DataFrame, claim_pharm: DataFrame, value_set: DataFrame, start, end) -> DataFrame:
     """Person and condition pairs found in a period, with its bounds."""
-    dx = _by_diagnosis(claim_dx.filter(in_closed_range("first_service_date", start, end)), value_set)
-    rx = _by_pharmacy(claim_pharm.filter(in_closed_range("rx_fill_date", start, end)), value_set)
+    lists = _listed(value_set)
+    dx = _by_diagnosis(claim_dx.filter(in_closed_range("first_service_date", start, end)), value_set, lists)
+    rx = _by_pharmacy(claim_pharm.filter(in_closed_range("rx_fill_date", start, end)), value_set, lists)
     return dx.union(rx).select("id_mcaid", F.col("bh_cond").alias("indicator")).distinct().select(
         "*", as_date(start).alias("from_date"), as_date(end).alias("to_date")
     )

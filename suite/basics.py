@@ -275,7 +275,7 @@ SELECT l.id_mcaid, l.claim_header_id, l.rev_code, k.definition FROM claim_line l
 WHERE k.value_set_name = 'Inpatient Stay' AND k.code_system = 'UBREV' AND k.version = '2020'""")
 def _(t):
     codes = t.hedis_codes.filter("value_set_name = 'Inpatient Stay' AND code_system = 'UBREV' AND version = '2020'")
-    return t.claim_line.join(codes.select(F.col("code").alias("rev_code"), "definition"), "rev_code").select(
+    return rel.with_code_columns(t.claim_line, "rev_code", codes.select("code", "definition")).select(
         "id_mcaid", "claim_header_id", "rev_code", "definition"
     )
 
