@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -269,40 +270,123 @@ def window_matrix(events: DataFrame, calendar: Calendar) -> DataFrame:
     return calendar.explode(calendar.lowest(month), calendar.highest(month), [*KEYS, "svc_date"], rows)
 
 
-def windows_with_events(events: DataFrame, windows: Calendar | DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Distinct windows with an event per key, for a regular calendar or any table of windows.
+WINDOW_LIST = 500  # windows of a table that are numbered and marked by bits
+
+
+def _months_with_events(events: DataFrame, calendar: Calendar, keys: Sequence[str]) -> DataFrame:
+    """The months of a key's events as bits, joined by OR before the shuffle: a key is one row a task."""
+    words = bitmaps.words_for(calendar.span)
+    rows = events.filter(calendar.covers("svc_date")).select(*keys, calendar.month("svc_date").alias("_m"))
+    return rows.groupBy(*keys).agg(*[w.alias(c) for w, c in zip(bitmaps.union_of(F.col("_m"), words), bitmaps.columns("_w", words))])
+
+
+def _windows_of_calendar(events: DataFrame, calendar: Calendar, keys: Sequence[str]) -> DataFrame:
+    words = bitmaps.words_for(calendar.span)
+    sets = bitmaps.spread(_months_with_events(events, calendar, keys), "_w", words, calendar.reach, calendar.longest - 1, up=False)
+    runs = bitmaps.runs(bitmaps.below(bitmaps.get("_w", words), calendar.n))
+    numbers = F.flatten(F.transform(runs, lambda r: F.sequence(r["first"], r["last"])))
+    return sets.select(*keys, F.transform(numbers, lambda k: F.struct(*calendar.bounds(k))).alias("windows"))
 
-    Events are distinct per month (in any other table per day) before they meet in windows.
+
+def _windows_of_table(events: DataFrame, windows: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """As for a calendar, with bits for the stretches between the bounds of all windows; a window is a mask.
+
+    At most ``most`` + 1 windows reach the driver. Of more windows than that, a key's are collected.
     """
-    if isinstance(windows, Calendar):
-        month = windows.month("svc_date")
-        rows = events.filter(windows.covers("svc_date")).select(*keys, month.alias("_m")).distinct()
-        # Hashed on the keys alone, the rows of a key stay together when opened and made distinct.
-        rows = rows.repartition(*[F.col(k) for k in keys])
-        found = windows.explode(windows.lowest(F.col("_m")), windows.highest(F.col("_m")), keys, rows)
-    else:
+    windows = windows.select("start_window", "end_window").where("start_window <= end_window")
+    dates = all(kind == "date" for _, kind in windows.dtypes)
+    listed = sorted(tuple(r) for r in windows.distinct().limit(most + 1).collect()) if dates else []
+    if not dates or len(listed) > most:
         days = events.select(*keys, "svc_date").distinct()
-        found = window_pairs(days, windows.select("start_window", "end_window"), "svc_date").drop("svc_date")
-    return found.distinct()
+        found = F.sort_array(F.collect_set(F.struct("start_window", "end_window")))
+        return window_pairs(days, windows, "svc_date").groupBy(*keys).agg(found.alias("windows"))
+    spans = [(first.toordinal(), last.toordinal() + 1) for first, last in listed]
+    points = sorted({p for span in spans for p in span})
+    number = {p: i for i, p in enumerate(points)}
+    words = bitmaps.words_for(max(len(points) - 1, 1))
+    day = lambda n: f"DATE '{date.fromordinal(n)}'"
+    rows = [f"({day(a)}, {day(b - 1)}, {i})" for i, (a, b) in enumerate(zip(points, points[1:]))] or ["(NULL, NULL, 0)"]
+    stretches = events.sparkSession.sql(f"SELECT CAST(a AS DATE) AS start_window, CAST(b AS DATE) AS end_window, _m FROM VALUES {', '.join(rows)} AS t(a, b, _m)")
+    marked = window_pairs(events.select(*keys, "svc_date"), stretches, "svc_date").groupBy(*keys).agg(
+        *[w.alias(c) for w, c in zip(bitmaps.union_of(F.col("_m"), words), bitmaps.columns("_w", words))]
+    )
+
+    def masks(a: int, b: int) -> list[Column]:
+        bits = (1 << number[b]) - (1 << number[a])
+        return [F.lit(bits >> bitmaps.WORD * i & bitmaps.FULL).cast("long").alias(f"_w{i}") for i in range(words)]
+
+    if not listed:
+        return marked.select(*keys, F.array().cast("array<struct<start_window:date,end_window:date>>").alias("windows")).where(F.lit(False))
+    known = F.array(*[F.struct(F.lit(first).alias("start_window"), F.lit(last).alias("end_window"), *masks(*span)) for (first, last), span in zip(listed, spans)])
+    hit = lambda w: reduce(Column.bitwiseOR, [F.col(c).bitwiseAND(w[c]) for c in bitmaps.columns("_w", words)]) != 0
+    bounds = lambda w: F.struct(w["start_window"].alias("start_window"), w["end_window"].alias("end_window"))
+    return marked.select(*keys, F.transform(F.filter(known, hit), bounds).alias("windows"))
+
+
+def open_windows(nested: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per window of a key, with what is known of it.
+
+    The outer form, as of the inner one Spark infers a filter on the size of the array, which it
+    pushes below the steps that made the array and so repeats them inside each other.
+    """
+    return nested.select(*keys, F.inline_outer("windows")).where(F.col("start_window").isNotNull())
+
+
+def windows_with_events(
+    events: DataFrame, windows: Calendar | DataFrame, keys: Sequence[str] = KEYS, nested: bool = False, most: int = WINDOW_LIST
+) -> DataFrame:
+    """Distinct windows with an event per key, for a regular calendar or any table of windows.
+
+    A key's events are bits until its windows are known, so that only the bits are shuffled and nothing is
+    made distinct afterwards. ``nested`` gives one row per key with its windows in order, as the array
+    ``windows``; the steps below then go from window to window inside the row and sort nothing.
+    """
+    found = _windows_of_calendar(events, windows, keys) if isinstance(windows, Calendar) else _windows_of_table(events, windows, keys, most)
+    return found if nested else open_windows(found, keys)
+
+
+def _goes_on(before: Column, start: Column, number: Column) -> Column:
+    return (month_diff(before, start) <= 1) | (start < before) | (number == 1)
 
 
 def flag_discontinuity(windows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Windows with their row number where a month or more lies between them and the window before."""
+    if "windows" in windows.columns:
+        def flagged(x: Column, i: Column) -> Column:
+            goes_on = _goes_on(F.get("windows", i - 1)["end_window"], x["start_window"], i + 1)
+            return x.withField("discont", F.when(~goes_on, i + 1))
+
+        return windows.withColumn("windows", F.transform("windows", flagged))
     w = Window.partitionBy(*keys).orderBy("start_window", "end_window")
     number, before = F.row_number().over(w), F.lag("end_window").over(w)
-    goes_on = (month_diff(before, "start_window") <= 1) | (F.col("start_window") < before) | (number == 1)
-    return windows.withColumn("discont", F.when(~goes_on, number))
+    return windows.withColumn("discont", F.when(~_goes_on(before, F.col("start_window"), number), number))
 
 
 def window_groups(flagged: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Flagged windows with the running number of their group."""
+    if "windows" in flagged.columns:
+        # Most keys have no gap. The marks are read twice, so they stay a column and are not found anew for each window.
+        def grouped(x: Column, i: Column) -> Column:
+            until = F.when(F.size("_marks") == 0, 0).otherwise(F.size(F.filter("_marks", lambda m: m <= i + 1)))
+            return x.withField("grp", until.cast("long"))
+
+        marked = flagged.withColumn("_marks", F.filter(F.col("windows.discont"), lambda m: m.isNotNull()))
+        return marked.withColumn("windows", F.transform("windows", grouped)).drop("_marks")
     w = Window.partitionBy(*keys).orderBy("start_window", "end_window").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return flagged.withColumn("grp", F.sum(flag(F.col("discont").isNotNull())).over(w))
 
 
 def window_periods(windows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Periods of windows that follow each other, for windows of any calendar."""
-    groups = window_groups(flag_discontinuity(windows, keys), keys).groupBy(*keys, "grp")
+    groups = window_groups(flag_discontinuity(windows, keys), keys)
+    if "windows" in windows.columns:
+        def period(g: Column) -> Column:
+            own = lambda c: F.transform(F.filter("windows", lambda x: x["grp"] == g), lambda x: x[c])
+            return F.struct(F.array_min(own("start_window")).alias("from_date"), F.array_max(own("end_window")).alias("to_date"))
+
+        numbers = F.sequence(F.lit(0).cast("long"), F.get("windows", F.size("windows") - 1)["grp"])
+        return groups.select(*keys, F.inline(F.transform(numbers, period)))
+    groups = groups.groupBy(*keys, "grp")
     return groups.agg(F.min("start_window").alias("from_date"), F.max("end_window").alias("to_date")).drop("grp")
 
 
@@ -324,10 +408,7 @@ def rolling_condition_periods(events: DataFrame, calendar: Calendar) -> DataFram
     a task, however many events it has, and nothing is put in order.
     """
     words = bitmaps.words_for(calendar.span)
-    rows = events.filter(calendar.covers("svc_date")).select(*KEYS, calendar.month("svc_date").alias("_m"))
-    months = [w.alias(c) for w, c in zip(bitmaps.union_of(F.col("_m"), words), bitmaps.columns("_w", words))]
-    marked = rows.groupBy(*KEYS).agg(*months)
-    windows = bitmaps.spread(marked, "_w", words, calendar.reach, calendar.longest - 1, up=False)
+    windows = bitmaps.spread(_months_with_events(events, calendar, KEYS), "_w", words, calendar.reach, calendar.longest - 1, up=False)
     return _periods(windows, KEYS, "_w", words, calendar)
 
 

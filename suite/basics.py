@@ -512,7 +512,7 @@ def _(t):
 
 def _flagged_windows(t):
     events = conditions.condition_events(t.claim_dx, t.claim_pharm, t.value_set)
-    return conditions.flag_discontinuity(conditions.windows_with_events(events, conditions.Calendar.of(t.windows)))
+    return conditions.flag_discontinuity(conditions.windows_with_events(events, conditions.Calendar.of(t.windows), nested=True))
 
 
 DISCONT_SQL = """
@@ -523,13 +523,13 @@ FROM (SELECT *, row_number() OVER w AS n, lag(end_window) OVER w AS e FROM (SELE
 
 @query("discontinuity_flag", f"SELECT id_mcaid, bh_cond, start_window, CAST(discont AS INT) AS discont FROM ({DISCONT_SQL})")
 def _(t):
-    return _flagged_windows(t).select("id_mcaid", "bh_cond", "start_window", "discont")
+    return conditions.open_windows(_flagged_windows(t)).select("id_mcaid", "bh_cond", "start_window", "discont")
 
 
 @query("running_group_id", f"""
 SELECT id_mcaid, bh_cond, start_window, count(discont) OVER (PARTITION BY id_mcaid, bh_cond ORDER BY start_window ROWS UNBOUNDED PRECEDING) AS grp FROM ({DISCONT_SQL})""")
 def _(t):
-    return conditions.window_groups(_flagged_windows(t)).select("id_mcaid", "bh_cond", "start_window", "grp")
+    return conditions.open_windows(conditions.window_groups(_flagged_windows(t))).select("id_mcaid", "bh_cond", "start_window", "grp")
 
 
 # ---- sorts, limits, set operations ------------------------------------------------
