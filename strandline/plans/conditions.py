@@ -596,8 +596,7 @@ def window_claim_threshold(
 ) -> DataFrame:
     """Claim counts per person, condition and window, for windows that meet the rule.
 
-    Claims are summed per month first, so a person gives at most one row per month
-    and window.
+    Claims are summed per month first, so a person and condition holds at most one entry per month.
     """
     keys = [person, "ccw_code"]
     dated = classified.filter(F.col(person).isNotNull() & calendar.covers("first_service_date"))
@@ -607,22 +606,38 @@ def window_claim_threshold(
         F.min("condition_2_from_date").alias("d_min"),
         F.max("condition_2_from_date").alias("d_max"),
     )
-    # Hashed on person and condition before a month is opened to its windows: nothing moves after that.
-    monthly = monthly.repartition(*[F.col(k) for k in keys])
-    m = F.col("m")
-    k = F.explode(F.sequence(calendar.lowest(m), calendar.highest(m))).alias("k")
-    per_window = (
-        monthly.select(*keys, k, "n1", "n2", "d_min", "d_max").groupBy(*keys, "k")
-        .agg(
-            F.sum("n1").alias("condition_1_cnt"), F.sum("n2").alias("condition_2_cnt"),
-            F.min("d_min").alias("condition_2_min_date"), F.max("d_max").alias("condition_2_max_date"),
-        )
-    )
-    twice = (F.col("condition_2_cnt") >= 2) & spans_days("condition_2_min_date", "condition_2_max_date")
+    # A person and condition is one row with its months. Windows differ only where a month enters or
+    # leaves, so months are added up once for each stretch of equal windows, inside the row: rows of
+    # windows are only made where the rule is met, and nothing is grouped after that.
+    months = monthly.groupBy(*keys).agg(F.collect_list(F.struct("m", "n1", "n2", "d_min", "d_max")).alias("_months"))
+    bound = lambda of: F.transform("_months", lambda x: of(x["m"]))
+    points = F.array_distinct(F.concat(bound(calendar.lowest), bound(lambda m: calendar.highest(m) + 1)))
+    months = months.withColumn("_points", F.sort_array(points))
+    zero, never = F.lit(0).cast("long"), F.lit(None).cast("date")
+    names = ["condition_1_cnt", "condition_2_cnt", "condition_2_min_date", "condition_2_max_date"]
+
+    def of(*values: Column) -> Column:
+        return F.struct(*[v.alias(n) for v, n in zip(values, names)])
+
+    def added(s: Column, x: Column) -> Column:
+        return of(s[names[0]] + x["n1"], s[names[1]] + x["n2"], F.least(s[names[2]], x["d_min"]), F.greatest(s[names[3]], x["d_max"]))
+
+    def stretch(i: Column) -> Column:
+        k = F.get("_points", i)
+        inside = F.filter("_months", lambda x: x["m"].between(k, k + (calendar.months - 1)))
+        return F.struct(k.alias("first"), (F.get("_points", i + 1) - 1).alias("last"), F.aggregate(inside, of(zero, zero, never, never), added).alias("c"))
+
     two_claims = F.col("ccw_code").isin(*[s.code for s in specs if s.condition_type == 2])
-    return per_window.filter((F.col("condition_1_cnt") >= 1) | (two_claims & twice)).select(
-        *keys, *calendar.bounds(F.col("k")), *[c for c in per_window.columns if c.startswith("condition_")]
-    )
+
+    def meets(w: Column) -> Column:
+        c = w["c"]
+        twice = (c["condition_2_cnt"] >= 2) & spans_days(c["condition_2_min_date"], c["condition_2_max_date"])
+        return (c["condition_1_cnt"] >= 1) | (two_claims & twice)
+
+    stretches = F.transform(F.sequence(F.lit(0), F.size("_points") - 2), stretch)
+    found = months.select(*keys, F.inline(F.filter(stretches, meets)))
+    opened = found.select(*keys, F.explode(F.sequence("first", "last")).alias("k"), *[F.col(f"c.{n}") for n in names])
+    return opened.select(*keys, *calendar.bounds(F.col("k")), *names)
 
 
 def condition_periods(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries)
 from strandline.plans import conditions
-from strandline.plans.conditions import KEYS, Calendar
+from strandline.plans.conditions import KEYS, Calendar, ConditionSpec
 from suite.registry import QUERIES
 
 SCHEMA = "id_mcaid string, bh_cond string, svc_date date"
@@ -55,10 +55,32 @@ def test_any_table_of_windows(spark, seed, most):
     assert conditions.windows_with_events(events, none, most=most).count() == 0
 
 
-@pytest.mark.parametrize("name", ["running_group_id", "discontinuity_flag", "any_calendar_periods"])
+@pytest.mark.parametrize("name", ["running_group_id", "discontinuity_flag", "any_calendar_periods", "window_claim_threshold"])
 def test_nothing_is_sorted_or_grouped_after_windows_are_opened(spark, small, name):
     plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     lines = plan.splitlines()
     opened = next(i for i, x in enumerate(lines) if "Generate" in x)
     assert not any(w in x for x in lines[:opened] for w in ("Window", "Sort", "Aggregate", "Exchange"))
     assert not any(" Window" in x for x in lines)
+
+
+@pytest.mark.parametrize("cal", [Calendar("2015-01-01", 60, 1), Calendar("2015-03-01", 40, 24), Calendar("2014-01-01", 30, 70)], ids=str)
+def test_window_counts_equal_brute_force(spark, cal):
+    rng = random.Random(str(cal))
+    specs = [ConditionSpec(1, "one", "c1", 1), ConditionSpec(2, "two", "c2", 2)]
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2]), date(2014, 6, 1) + timedelta(days=rng.randrange(3000)), rng.randrange(1, 3), int(rng.random() < 0.2), int(rng.random() < 0.5)) for _ in range(120)]
+    claims = spark.createDataFrame(rows, "id_mcaid string, ccw_code int, first_service_date date, n_dx long, condition1 int, condition2 int")
+    claims = claims.withColumn("condition_2_from_date", F.when(F.col("condition2") == 1, F.col("first_service_date")))
+    want = set()
+    for k in range(cal.n):
+        at = lambda n: date((m := date.fromisoformat(cal.first).year * 12 + date.fromisoformat(cal.first).month - 1 + n) // 12, m % 12 + 1, 1)
+        start, end = at(k), at(k + cal.months) - timedelta(days=1)
+        for p in "ab":
+            for c in (1, 2):
+                own = [r for r in rows if r[0] == p and r[1] == c and start <= r[2] <= end]
+                n1, n2 = sum(r[3] * r[4] for r in own), sum(r[3] * r[5] for r in own)
+                days = [r[2] for r in own if r[5]]
+                if n1 >= 1 or (c == 2 and n2 >= 2 and max(days) > min(days)):
+                    want.add((p, c, start, end, n1, n2, min(days, default=None), max(days, default=None)))
+    got = [tuple(r) for r in conditions.window_claim_threshold(claims, specs, cal).collect()]
+    assert set(got) == want and len(got) == len(want) > 0
