@@ -67,9 +67,11 @@ def inpatient_mh_claims(
     lines = with_code_in(claim_line, "rev_code", code_rows(codes, ["Inpatient Stay"], "UBREV", version))
     dx = claim_dx.filter((F.col("icdcm_version") == 10) & (F.col("icdcm_number") == "01"))
     dx = with_code_in(dx, "icdcm_norm", code_rows(codes, sets, "ICD10CM"))
-    asked = lines.select("claim_header_id", F.col("id_mcaid").alias("_line_id"), F.lit(True).alias("_stay")).unionByName(
-        dx.select("claim_header_id", F.lit(None).cast(claim_line.schema["id_mcaid"].dataType).alias("_line_id"), F.lit(False).alias("_stay"))
-    ).distinct()
+    # Lines are dealt by claim and person: sides of unlike partitioning are found in tasks of their own.
+    # Of like partitioning, one task would sort the inputs of both sides and the headers at a time.
+    found_lines = lines.select("claim_header_id", F.col("id_mcaid").alias("_line_id"), F.lit(True).alias("_stay")).distinct()
+    found_dx = dx.select("claim_header_id", F.lit(None).cast(claim_line.schema["id_mcaid"].dataType).alias("_line_id"), F.lit(False).alias("_stay")).distinct()
+    asked = found_lines.repartition("claim_header_id", "_line_id").unionByName(found_dx)
     header = claim_header.select("claim_header_id", "id_mcaid", "admsn_date", "first_service_date", F.lit(True).alias("_there"))
     rows = asked.join(header, "claim_header_id", "left")
     stay, found = F.col("_stay"), F.col("_there") & in_closed_range("admsn_date", start, end)

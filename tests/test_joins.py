@@ -101,3 +101,18 @@ def test_one_read_of_the_headers_equals_both_steps(spark):
     apart = adm.inpatient_mh(adm.inpatient_stays(line, head, *args), adm.principal_dx_claims(dx, head, *args))
     together = adm.inpatient_mh_claims(line, dx, head, *args)
     assert sorted(map(str, together.collect())) == sorted(map(str, apart.collect())) and together.count() > 0
+
+
+def test_sides_of_inpatient_claims_are_found_in_stages_of_their_own(spark, small):
+    """A task that finds lines does not sort the inputs of the diagnoses and the headers as well."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        plan = planned(spark, entry.queries()["inpatient_mh"](spark, small)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    union = next(i for i, x in enumerate(plan) if "Union" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    above = [x for i, x in enumerate(plan[:union]) if all(depth(y) > depth(x) for y in plan[i + 1:union + 1])]
+    below = plan[union + 1]
+    assert "Exchange" in below and any("Exchange" in x for x in above[above.index(next(x for x in above if "Join" in x)):])
